@@ -36,22 +36,30 @@ def _folded(path: Column, rooted: Column | bool) -> Column:
 
 def clean(path: Column) -> Column:
     """Fold ``.`` and ``..`` lexically; leading ``..`` survive in relative paths."""
-    rooted = F.startswith(path, F.lit("/"))
-    return F.when(~F.rlike(path, F.lit(_UNCLEAN)), path).otherwise(
-        let(
-            _folded(path, rooted),
-            lambda joined: F.when(rooted, F.concat(F.lit("/"), joined))
-            .when(joined == "", F.lit("."))
-            .otherwise(joined),
+
+    def fold(p: Column) -> Column:
+        rooted = F.startswith(p, F.lit("/"))
+        return F.when(~F.rlike(p, F.lit(_UNCLEAN)), p).otherwise(
+            let(
+                _folded(p, rooted),
+                lambda joined: F.when(rooted, F.concat(F.lit("/"), joined))
+                .when(joined == "", F.lit("."))
+                .otherwise(joined),
+            )
         )
-    )
+
+    return let(path, fold)
 
 
 def clean_relative(path: Column) -> Column:
     """As ``clean`` but a leading slash means the root of the tree itself."""
-    return F.when(~F.rlike(path, F.lit(_UNCLEAN)), path).otherwise(
-        let(_folded(path, False), lambda joined: F.when(joined == "", F.lit(".")).otherwise(joined))
-    )
+
+    def fold(p: Column) -> Column:
+        return F.when(~F.rlike(p, F.lit(_UNCLEAN)), p).otherwise(
+            let(_folded(p, False), lambda joined: F.when(joined == "", F.lit(".")).otherwise(joined))
+        )
+
+    return let(path, fold)
 
 
 def join(directory: Column, relative: Column) -> Column:
@@ -70,10 +78,8 @@ def base(path: Column) -> Column:
 def directory(path: Column) -> Column:
     last = F.substring_index(path, "/", -1)
     head = F.substr(path, F.lit(1), F.length(path) - F.length(last) - 1)
-    return (
-        F.when(~F.contains(path, F.lit("/")), F.lit("."))
-        .when(head == "", F.lit("/"))
-        .otherwise(clean(head))
+    return F.when(~F.contains(path, F.lit("/")), F.lit(".")).otherwise(
+        clean(F.coalesce(F.nullif(head, F.lit("")), F.lit("/")))
     )
 
 

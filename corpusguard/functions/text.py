@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.fixed_values import BOM, WHITESPACE
@@ -15,6 +16,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections do not repeat.
+
+    The optimizer copies an expression into every filter that reads it; it does not
+    push filters through a generator, so the value is produced by one.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Cache a large expression over named columns for the life of the session.
+
+    Building one costs thousands of driver calls; the Column itself is only a tree
+    of unresolved names and can be used in any number of queries.
+    """
+    built: dict[tuple, Column] = {}
+
+    def cached(*names: str) -> Column:
+        key = (id(SparkContext._gateway), *names)
+        if key not in built:
+            built[key] = build(*names)
+        return built[key]
+
+    return cached
+
+
 def trim_space(value: Column) -> Column:
     """Unicode trim; Spark's plain ``trim`` removes U+0020 only."""
     return F.btrim(value, F.lit(WHITESPACE))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths, urls
 from corpusguard.functions.regex import extract_all, java_pattern, matches
-from corpusguard.functions.text import contains_any, digest, let, lines, trim_space
+from corpusguard.functions.text import built_once, compute_once, contains_any, digest, let, lines, trim_space
 from corpusguard.schemas import FINDINGS
 
 _LINE_HIT = "array<struct<rule_id:string,level:string,reason:string,approvable:boolean>>"
@@ -175,19 +175,20 @@ def _hit(rule_id: str, reason: str, level: str = V.BLOCK, approvable: bool = Fal
     )
 
 
-def classify_reference(document_path: Column, target: Column, is_image: Column) -> Column:
-    """Finding struct for one reference target, null if it is harmless."""
+def classify_reference(directory: Column, target: Column, is_image: Column) -> Column:
+    """Finding struct for one reference target, null if it is harmless.
+
+    ``directory`` is the directory of the document holding the reference.
+    """
 
     def local(unescaped: Column) -> Column:
         absolute = F.startswith(unescaped, F.lit("/")) | F.startswith(unescaped, F.lit("~"))
-        joined = paths.join(
-            paths.directory(document_path), F.replace(unescaped, F.lit("\\"), F.lit("/"))
-        )
+        joined = paths.join(directory, F.replace(unescaped, F.lit("\\"), F.lit("/")))
         extension = F.lower(paths.extension(unescaped))
         return (
             F.when(unescaped == "", F.lit(None))
             .when(absolute, _hit(V.ABSOLUTE_PATH, V.REASONS[V.ABSOLUTE_PATH]))
-            .when(paths.escapes(joined), _hit(V.RELATIVE_ESCAPE, V.REASONS[V.RELATIVE_ESCAPE]))
+            .when(let(joined, paths.escapes), _hit(V.RELATIVE_ESCAPE, V.REASONS[V.RELATIVE_ESCAPE]))
             .when(is_image, _hit(V.LOCAL_RESOURCE, V.REASON_LOCAL_IMAGE))
             .when(~extension.isin("", ".md"), _hit(V.LOCAL_RESOURCE, V.REASON_LOCAL_FILE))
         )
@@ -211,7 +212,7 @@ def classify_reference(document_path: Column, target: Column, is_image: Column)
     return F.when(~ignored, let(urls.split_url(target), by_scheme))
 
 
-def _reference_hits(document_path: Column, line: Column) -> Column:
+def _reference_hits(directory: Column, line: Column) -> Column:
     """Hits of a line's references in emission order."""
     none = F.array().cast("array<struct<is_image:boolean,target:string>>")
     found = F.concat(
@@ -219,7 +220,7 @@ def _reference_hits(document_path: Column, line: Column) -> Column:
         F.when(_guard(line, "reference_definition"), reference_definitions(line)).otherwise(none),
         F.when(_guard(line, "html_resource"), html_resources(line)).otherwise(none),
     )
-    return F.transform(found, lambda r: classify_reference(document_path, r["target"], r["is_image"]))
+    return F.transform(found, lambda r: classify_reference(directory, r["target"], r["is_image"]))
 
 
 # --- one pass over a document ------------------------------------------------------
@@ -236,44 +237,44 @@ def first_per_rule(hits: Column) -> Column:
     )
 
 
-def _line_hits(document_path: Column, line: Column) -> Column:
+def _line_hits(directory: Column, line: Column) -> Column:
     direct = [
         F.when(line_rule(line, rule), _hit(rule, V.REASONS[rule], approvable=rule in V.APPROVABLE_RULES))
         for rule in LINE_RULES
     ]
-    return first_per_rule(F.concat(F.array(*direct), _reference_hits(document_path, line)))
+    return first_per_rule(F.concat(F.array(*direct), _reference_hits(directory, line)))
 
 
 def scan_text(document_path: Column, text: Column) -> Column:
     """Findings of one valid UTF-8 document, sorted by line and rule."""
 
-    def whole(document_lines: Column) -> Column:
+    def whole(document: Column) -> Column:
+        document_lines = document["lines"]
         fence = F.when(contains_any(text, "```", "~~~"), unclosed_fence_line(document_lines)).otherwise(
             F.lit(0).cast("long")
         )
-        at = lambda line, rule: F.when(
-            line.isNotNull(),
-            F.struct(
-                line.alias("line"),
-                F.lit(rule).alias("rule_id"),
-                F.lit(V.BLOCK).alias("level"),
-                F.lit(V.REASONS[rule]).alias("reason"),
-                F.lit(False).alias("approvable"),
-            ),
+        at = lambda line, rule: F.struct(
+            line.alias("line"),
+            F.lit(rule).alias("rule_id"),
+            F.lit(V.BLOCK).alias("level"),
+            F.lit(V.REASONS[rule]).alias("reason"),
+            F.lit(False).alias("approvable"),
         )
-        structural = F.array_compact(
+        front_matter = F.when(unclosed_front_matter(document_lines), F.lit(1).cast("long"))
+        structural = F.filter(
             F.array(
                 at(binary_line(text), V.BINARY),
-                at(F.when(unclosed_front_matter(document_lines), F.lit(1).cast("long")), V.FRONT_MATTER),
-                at(F.nullif(fence, F.lit(0).cast("long")), V.UNCLOSED_FENCE),
-            )
+                at(front_matter, V.FRONT_MATTER),
+                at(fence, V.UNCLOSED_FENCE),
+            ),
+            lambda f: f["line"] > 0,
         )
         by_line = F.transform(
             document_lines,
             lambda line, i: F.when(
                 _may_fire(line),
                 F.transform(
-                    _line_hits(document_path, line),
+                    _line_hits(document["directory"], line),
                     lambda h: F.struct(
                         (i + 1).cast("long").alias("line"),
                         h["rule_id"].alias("rule_id"),
@@ -286,14 +287,15 @@ def scan_text(document_path: Column, text: Column) -> Column:
         )
         return F.concat(structural, F.flatten(F.filter(by_line, lambda x: x.isNotNull())))
 
-    return F.sort_array(let(lines(text), whole)).cast(FINDINGS)
+    document = F.struct(lines(text).alias("lines"), paths.directory(document_path).alias("directory"))
+    return F.sort_array(let(document, whole)).cast(FINDINGS)
 
 
-def scan_documents(documents: DataFrame, content: str = "text") -> DataFrame:
-    """``path, content`` -> adds ``sha256`` and the ``findings`` array.
+@built_once
+def content_findings(content: str) -> Column:
+    """Findings of the named text or binary column of the row's ``path``.
 
-    Narrow: one row in, one row out.  Undecodable content yields a single finding
-    and skips every other rule.  ``completed`` marks a full scan.
+    Undecodable content yields a single finding and skips every other rule.
     """
     text = F.col(content).cast("string")
     invalid = F.array(
@@ -305,16 +307,26 @@ def scan_documents(documents: DataFrame, content: str = "text") -> DataFrame:
             F.lit(False).alias("approvable"),
         )
     ).cast(FINDINGS)
-    return documents.withColumn("sha256", digest(F.col(content))).withColumn(
-        "findings",
-        F.when(~F.is_valid_utf8(text), invalid).otherwise(scan_text(F.col("path"), text)),
-    )
+    return F.when(~F.is_valid_utf8(text), invalid).otherwise(scan_text(F.col("path"), text))
+
+
+def scan_documents(
+    documents: DataFrame, content: str = "text", sha256: str = "sha256", findings: str = "findings"
+) -> DataFrame:
+    """``path, content`` -> adds the content digest and the findings array.
+
+    Narrow: one row in, one row out, nothing shuffled.
+    """
+    with_digest = documents.withColumn(sha256, digest(F.col(content)))
+    return compute_once(with_digest, findings, content_findings(content))
 
 
 def flatten_findings(results: DataFrame, *keep: str) -> DataFrame:
     """One row per finding, with the document's path and digest."""
     columns = dict.fromkeys(("path", "sha256", *keep))
-    return results.select(*columns, F.explode("findings").alias("f")).select(*columns, "f.*")
+    # The outer form: an inner explode would first filter on the whole scan expression.
+    exploded = results.select(*columns, F.explode_outer("findings").alias("f"))
+    return exploded.where(F.col("f").isNotNull()).select(*columns, "f.*")
 
 
 # --- line relations ------------------------------------------------------------------

@@ -53,4 +53,4 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> Da
     Over the limit the frame is returned as it is and the join shuffles.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit_bytes else df
+    return F.broadcast(df) if int(str(size)) <= limit_bytes else df
