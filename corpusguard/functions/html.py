@@ -7,13 +7,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusguard.fixed_values import PAGE_PATTERNS, WHITESPACE
 from corpusguard.functions.regex import java_pattern
 from corpusguard.functions.text import trim_space
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape_all(values: pd.Series) -> pd.Series:
     return values.map(
         lambda items: None if items is None else [html.unescape(v) if "&" in v else v for v in items]
