@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import scanning  # noqa: F401
+from checks import governance, publishing, scanning, site  # noqa: F401
 from checks.base import CHECKS  # noqa: F401

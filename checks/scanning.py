@@ -345,7 +345,11 @@ def scan_findings(spark, sf_dir):
     "scan_conversations",
     S.with_(
         [
-            ("turns", "SELECT 'c' || conv_id || '/t' || turn || '.md' AS path, text, sha256(text) AS sha256 FROM conversations"),
+            (
+                "turns",
+                "SELECT *, sha256(text) AS sha256 FROM (SELECT 'c' || conv_id || '/t' || turn || '.md' AS path, "
+                f"text || {S.LF} || {S.strings(seeds.SEEDS)}[(conv_id + turn) % 24 + 1] AS text FROM conversations)",
+            ),
             *S.scan("turns", "c_"),
         ],
         "SELECT path, line, rule_id, level, reason FROM c_findings",
@@ -354,7 +358,8 @@ def scan_findings(spark, sf_dir):
 def scan_conversations(spark, sf_dir):
     """The same rules over a second text table."""
     turns = seeds.table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), "conv_id", F.lit("/t"), "turn", F.lit(".md")).alias("path"), "text"
+        F.concat(F.lit("c"), "conv_id", F.lit("/t"), "turn", F.lit(".md")).alias("path"),
+        F.concat("text", F.lit("\n"), seeds.pick(seeds.SEEDS, (F.col("conv_id") + F.col("turn")) % 24)).alias("text"),
     )
     found = rules.flatten_findings(rules.scan_documents(turns))
     return found.select("path", "line", "rule_id", "level", "reason")

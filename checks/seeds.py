@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], index: Column) -> Column:
+def pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
 
@@ -67,7 +67,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(n % 97 == 0, reserved).otherwise(plain).alias("path"),
-        F.concat(_pick(PREFIXES, n % 7), "text", F.lit("\n"), _pick(SEEDS, n % 24)).alias("text"),
+        F.concat(pick(PREFIXES, n % 7), "text", F.lit("\n"), pick(SEEDS, n % 24)).alias("text"),
         F.timestamp_seconds(F.lit(1767225600) + (n % 5000) * 60).alias("modified_at"),
     )
 
@@ -118,7 +118,7 @@ def allowlist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITTEN: dict[tuple, DataFrame] = {}
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived input written once per session, as a real run would find it stored."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
@@ -127,7 +127,7 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir, "allowlist", lambda: allowlist_entries(spark, sf_dir))
+    return written(spark, sf_dir, "allowlist", lambda: allowlist_entries(spark, sf_dir))
 
 
 def external(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,14 @@ def header_problems(manifest: DataFrame, scanner_version: str, ruleset_sha256: s
     return manifest.select(problem.alias("problem")).where("problem is not null").distinct()
 
 
+def directories_of(files: DataFrame) -> DataFrame:
+    """Distinct directories that hold the files of a tree."""
+    direct = files.select(paths.directory(F.col("path")).alias("path")).distinct().where("path <> '.'")
+    return direct.select(
+        F.explode(F.concat(F.array("path"), paths.ancestors(F.col("path")))).alias("path")
+    ).distinct()
+
+
 def verify_corpus(
     files: DataFrame,
     manifest: DataFrame,
@@ -44,7 +52,7 @@ def verify_corpus(
     """Violations ``check, path, problem`` of published ``path, data``; empty means verified."""
     scanned = rescan(files, allowlist, at)
     if directories is None:
-        directories = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+        directories = directories_of(files)
 
     def labelled(check: str, frame: DataFrame, problem: str = "problem") -> DataFrame:
         path = F.col("path") if "path" in frame.columns else F.lit(None).cast("string")

@@ -32,15 +32,18 @@ def raise_if_any(violations: DataFrame, what: str) -> None:
 def shape_violations(text_lines: DataFrame, schema: T.StructType, nested: dict[str, T.StructType]) -> DataFrame:
     """Lines of JSON text that do not have exactly the fields of a schema."""
     value = F.col("value")
-    unknown = F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, schema.names)))) > 0
+
+    def beyond(keys, allowed: T.StructType):
+        return F.size(F.array_except(keys, F.array(*map(F.lit, allowed.names)))) > 0
+
+    def nested_unknown(column: str, inner: T.StructType):
+        items = F.from_json(F.get_json_object(value, f"$.{column}"), "array<map<string,string>>")
+        return F.exists(items, lambda item: beyond(F.map_keys(item), inner))
+
+    unknown = beyond(F.json_object_keys(value), schema)
     problem = F.when(F.json_object_keys(value).isNull(), "malformed").when(unknown, "unknown_field")
     for column, inner in nested.items():
-        items = F.from_json(F.get_json_object(value, f"$.{column}"), "array<map<string,string>>")
-        extra = F.exists(
-            items,
-            lambda m, names=inner.names: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) > 0,
-        )
-        problem = problem.when(extra, f"unknown_field_in_{column}")
+        problem = problem.when(nested_unknown(column, inner), f"unknown_field_in_{column}")
     return text_lines.select(problem.alias("problem")).where("problem is not null")
 
 
