@@ -311,15 +311,18 @@ _ROW_HASH = f"sha256(concat_ws({S.NUL}, {', '.join(f'coalesce({c}::VARCHAR, {chr
     S.with_(
         S.DOCS
         + [
-            ("counted", f"SELECT h, count(*) AS n FROM (SELECT {_ROW_HASH} AS h FROM docs) GROUP BY h"),
-            (
-                "buckets",
-                "SELECT b, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS d FROM (SELECT *, substr(h, 1, 2) AS b FROM counted) GROUP BY b",
+            ("level0", f"SELECT h AS k, count(*)::VARCHAR AS v FROM (SELECT {_ROW_HASH} AS h FROM docs) GROUP BY h"),
+            *(
+                (
+                    f"level{n + 1}",
+                    f"SELECT substr(k, 1, {digits}) AS k, sha256(string_agg(k || '=' || v, ',' ORDER BY k || '=' || v)) AS v FROM level{n} GROUP BY 1",
+                )
+                for n, digits in enumerate((6, 3, 0))
             ),
             (
                 "rule_files",
                 f"SELECT * FROM (VALUES {_RULE_FILES}) v(path, content) UNION ALL "
-                "SELECT 'config/documents', sha256(string_agg(b || '=' || d, ',' ORDER BY b)) FROM buckets",
+                "SELECT 'config/documents', v FROM level3",
             ),
         ],
         f"SELECT sha256(string_agg(path || {S.NUL} || content || {S.NUL}, '' ORDER BY path)) AS ruleset_sha256 FROM rule_files",

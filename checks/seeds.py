@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.functions.text import digest
 from corpusguard.operators import approvals, findings as finding_ops, rules, transform
-from corpusguard.session import materialize
+from corpusguard.session import fill_cores, materialize
 
 AT = datetime(2026, 6, 1)
 SCANNER_VERSION = "8.0.0"
@@ -51,7 +51,7 @@ SEEDS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return fill_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -130,13 +130,8 @@ def unapproved_blocking(
     findings: DataFrame, allowlist: DataFrame, at: datetime | Column, side: str = "source"
 ) -> DataFrame:
     """Blocking findings that still exclude their document."""
-    allowed = active_approvals(allowlist, at, side)
-    eligible = F.col("approvable") & F.col("rule_id").isin(*V.APPROVABLE_RULES)
     blocking = findings.where(F.col("level") == V.BLOCK)
-    # Only the approvable part meets the allowlist.
-    return blocking.where(~eligible).unionByName(
-        blocking.where(eligible).join(broadcast_if_small(allowed), _DECIDED_BY, "left_anti").select(findings.columns)
-    )
+    return apply_approvals(blocking, allowlist, at, side).where(~F.col("approved")).select(findings.columns)
 
 
 def approved_by_document(allowlist: DataFrame, at: datetime | Column, side: str) -> DataFrame:

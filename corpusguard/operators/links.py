@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths, urls
 from corpusguard.functions.html import collapse_space, positive_attribute, strip_tags, unescape_all
-from corpusguard.functions.regex import extract_all
+from corpusguard.functions.regex import extract_all, java_pattern
 from corpusguard.functions.text import compute_once, contains_any, count_of, let, trim_space
 
 
@@ -24,13 +24,14 @@ def page_files(pages: DataFrame) -> DataFrame:
 
 
 def _attribute_values(page: Column) -> Column:
-    """Distinct href and src values of a page, trimmed, still escaped."""
-    groups = [extract_all(page, "attribute", g).alias(n) for g, n in ((1, "d"), (2, "s"), (3, "b"))]
+    """Distinct href and src values of a page, trimmed, still escaped.
+
+    One pass finds the attributes; their values are cut from the short matches.
+    """
+    pattern = java_pattern(V.PAGE_PATTERNS["attribute"])
+    value = lambda match: F.concat(*(F.regexp_extract(match, pattern, g) for g in (1, 2, 3)))
     return F.array_distinct(
-        F.transform(
-            F.arrays_zip(*groups),
-            lambda m: trim_space(F.concat(m["d"], m["s"], m["b"])),
-        )
+        F.transform(F.array_distinct(extract_all(page, "attribute", 0)), lambda m: trim_space(value(m)))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
@@ -19,22 +19,22 @@ def hash_tree(files: DataFrame, data: str = "data") -> DataFrame:
     return files.select("path", digest(F.col(data)).alias("sha256"))
 
 
-def table_digest(table: DataFrame, columns: list[str], bucket_digits: int = 2) -> DataFrame:
+def table_digest(table: DataFrame, columns: list[str], levels: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
     """One digest for a table of any size, independent of row order.
 
-    Rows are hashed where they are; equal rows are counted, never collected.  Row
-    hashes are folded per hash prefix (even by construction) and then over the fixed
-    number of prefixes.
+    Rows are hashed where they are and equal rows are counted, never collected.  Row
+    hashes are then folded level by level along their hexadecimal prefix: 16^6
+    groups, 16^3 groups, one.  Hashes spread evenly, so no group grows hot, and above
+    the first level no group holds more than 4096 digests.
     """
     row = digest(F.concat_ws(_NUL, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-    counted = table.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    line = F.concat_ws(":", "h", F.col("n").cast("string"))
-    buckets = counted.groupBy(F.substring("h", 1, bucket_digits).alias("b")).agg(
-        digest(F.array_join(F.array_sort(F.collect_list(line)), ",")).alias("d")
-    )
-    return buckets.agg(
-        digest(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "b", "d"))), ",")).alias("sha256")
-    )
+    folded = table.select(row.alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    for digits in levels:
+        entry = F.concat_ws("=", "key", "value")
+        folded = folded.groupBy(F.substring("key", 1, digits).alias("key")).agg(
+            digest(F.array_join(F.array_sort(F.collect_list(entry)), ",")).alias("value")
+        )
+    return folded.select(F.col("value").alias("sha256"))
 
 
 def ruleset_fingerprint(files: DataFrame) -> DataFrame:
@@ -62,10 +62,12 @@ def with_ordinal(table: DataFrame, key: str, name: str = "ordinal") -> DataFrame
     # Written once: range bounds are sampled and must not be drawn twice.
     ranged = materialize(ranged, "ordinal")
     part = F.shiftright("_id", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-    offsets = before.groupBy(F.col("a._part").alias("_part")).agg(
-        F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before")
+    # One row per partition: small whatever the table's size.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy(part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
@@ -165,14 +167,13 @@ def validate_manifest(manifest: DataFrame) -> DataFrame:
 
 def reconcile(expected: DataFrame, actual: DataFrame, names: tuple[str, str, str], *values: str) -> DataFrame:
     """Full outer comparison by path; ``names`` label only-expected, only-actual and differing rows."""
-    same = F.lit(True)
     left = expected.select("path", F.struct(*values).alias("_e"))
     right = actual.select("path", F.struct(*values).alias("_a"))
     missing, extra, changed = names
     status = (
         F.when(F.col("_a").isNull(), missing)
         .when(F.col("_e").isNull(), extra)
-        .when(~F.col("_e").eqNullSafe(F.col("_a")) & same, changed)
+        .when(~F.col("_e").eqNullSafe(F.col("_a")), changed)
     )
     return (
         left.join(right, "path", "full_outer").select("path", status.alias("status")).where("status is not null")

@@ -24,7 +24,6 @@ _LINE_HIT = "array<struct<rule_id:string,level:string,reason:string,approvable:b
 # is far cheaper than decoding the line for the regex engine.
 _LITERALS = {
     "private_key": ("-----BEGIN ",),
-    "token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "AKIA", "xox", "sk-"),
     "credential_assignment": (":", "="),
     "credential_url": ("://",),
     "private_ipv4": ("10.", "172.", "192.168.", "127."),
@@ -40,6 +39,8 @@ _LITERALS = {
     "html_resource": ("=",),
 }
 _HOST_LITERALS = ("local", ".internal", ".lan")
+_TOKEN_LITERALS = ("AKIA", "xox", "sk-")
+_UNDERSCORED_TOKENS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")
 
 # Rule -> patterns, in emission order.
 LINE_RULES = {
@@ -56,7 +57,11 @@ LINE_RULES = {
 
 def _guard(line: Column, pattern: str) -> Column:
     if pattern == "private_host":
-        return contains_any(F.lower(line), *_HOST_LITERALS)
+        return let(F.lower(line), lambda lowered: contains_any(lowered, *_HOST_LITERALS))
+    if pattern == "token":
+        return contains_any(line, *_TOKEN_LITERALS) | (
+            F.contains(line, F.lit("_")) & contains_any(line, *_UNDERSCORED_TOKENS)
+        )
     return contains_any(line, *_LITERALS[pattern])
 
 
@@ -70,10 +75,14 @@ def line_rule(line: Column, rule_id: str) -> Column:
 
 
 def _may_fire(line: Column) -> Column:
-    """Cheap necessary condition for any line rule or reference."""
-    common = (":", "/", "=", "[", "<", "10.", "172.", "192.168.", "127.")
-    rare = _LITERALS["private_key"] + _LITERALS["token"]
-    return contains_any(line, *common, *rare) | contains_any(F.lower(line), *_HOST_LITERALS)
+    """Cheap necessary condition for any line rule or reference, commonest literals first."""
+    return (
+        contains_any(line, ":", "/", "=", "[", "<")
+        | _guard(line, "private_ipv4")
+        | _guard(line, "token")
+        | _guard(line, "private_key")
+        | _guard(line, "private_host")
+    )
 
 
 # --- whole-document rules -------------------------------------------------------

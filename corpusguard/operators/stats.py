@@ -12,8 +12,14 @@ from corpusguard.operators.transform import section_directories
 def corpus_stats(published: DataFrame, candidates: DataFrame) -> DataFrame:
     """Documents published and sections below the root, empty sections included."""
     sections = section_directories(candidates).where("directory <> '.'")
-    return published.agg(F.count(F.lit(1)).alias("documents")).crossJoin(
-        F.broadcast(sections.agg(F.count(F.lit(1)).alias("sections")))
+    tally = lambda frame, documents: frame.select(F.lit(documents).alias("document"))
+    return (
+        tally(published, True)
+        .unionByName(tally(sections, False))
+        .agg(
+            F.count_if("document").alias("documents"),
+            F.count_if(~F.col("document")).alias("sections"),
+        )
     )
 
 

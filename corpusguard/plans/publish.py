@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
@@ -110,6 +110,7 @@ def select_publishable(documents: DataFrame, unapproved: DataFrame) -> DataFrame
 class Publication:
     scan: Scan
     files: DataFrame
+    indexes: DataFrame
     manifest: DataFrame
 
 
@@ -129,7 +130,7 @@ def build_snapshot(
         F.lit(ruleset_sha256),
     )
     results = outcomes.select("path", "sha256", "findings").withColumn("completed", F.lit(True))
-    return Publication(Scan(results, at), files, rows)
+    return Publication(Scan(results, at), files, indexes, rows)
 
 
 def publish_corpus(
@@ -149,30 +150,63 @@ def publish_corpus(
     ``unchanged`` is a second discovery of the sources; any drift against the scanned
     digests stops the publication.
     """
-    outcomes = materialize(
-        decide_outcomes(documents, allowlist, at, external, external_output, content), "outcomes"
-    )
+    spark, content_root = documents.sparkSession, f"{root}/content"
+    decided = decide_outcomes(documents, allowlist, at, external, external_output, content)
+    # The one write of the text: outcomes go straight into the new version's folder.
+    version = snapshot.stage(staged_rows(decided), content_root)
+    outcomes = read_outcomes(spark, content_root, version)
     built = build_snapshot(outcomes, outcomes.select("path"), scanner_version, ruleset_sha256, at)
     sinks.write_exclusion_report(built.scan.exclusions, f"{root}/reports/exclusions")
     sinks.write_inventory(built.scan.inventory, at, f"{root}/reports/inventory")
     ordered = materialize(manifest.encode_manifest(built.manifest), "manifest")
+    snapshot.stage(
+        built.indexes.select("path", "data", "sha256", F.lit(snapshot.INDEX).alias("kind")), content_root, version
+    )
 
     def final_validation(staged: DataFrame) -> None:
-        raise_if_any(manifest.verify_manifest(manifest.hash_tree(staged), ordered), "snapshot differs from manifest")
+        raise_if_any(manifest.verify_manifest(staged, ordered), "snapshot differs from manifest")
         if unchanged is not None:
             drift = manifest.reconcile(
                 outcomes.select("path", "sha256"), unchanged, ("removed", "added", "changed"), "sha256"
             )
             raise_if_any(drift, "sources changed during the scan")
 
-    pointer = snapshot.publish_snapshot(built.files, f"{root}/content", final_validation)
+    pointer = snapshot.activate(spark, content_root, version, final_validation)
     target = f"{root}/manifests/version={pointer['version']}"
-    if not snapshot._exists(documents.sparkSession, target):
+    if not snapshot.exists(spark, target):
         sinks.write_manifest(ordered, target)
     return pointer
 
 
-def published_manifest_path(spark, root: str) -> str:
+def staged_rows(outcomes: DataFrame) -> DataFrame:
+    published = F.col("outcome") == PUBLISHED
+    return outcomes.select(
+        "path",
+        F.col("output").alias("data"),
+        F.col("output_sha256").alias("sha256"),
+        F.col("sha256").alias("source_sha256"),
+        "outcome",
+        "findings",
+        "approved_rules",
+        F.when(published, snapshot.DOCUMENT).otherwise(snapshot.HELD).alias("kind"),
+    )
+
+
+def read_outcomes(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The decided outcomes of a staged version."""
+    staged = spark.read.parquet(snapshot.version_folder(root, version))
+    return staged.where(F.col("kind") != snapshot.INDEX).select(
+        "path",
+        F.col("source_sha256").alias("sha256"),
+        "outcome",
+        "findings",
+        F.col("data").alias("output"),
+        F.col("sha256").alias("output_sha256"),
+        "approved_rules",
+    )
+
+
+def published_manifest_path(spark: SparkSession, root: str) -> str:
     pointer = snapshot.current(spark, f"{root}/content")
     if pointer is None:
         raise InvalidTable(f"{root} holds no published snapshot")

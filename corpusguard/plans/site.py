@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
 from corpusguard.operators import links
+from corpusguard.session import materialize
 
 
 def check_site(
@@ -18,11 +19,12 @@ def check_site(
 ) -> DataFrame:
     """Distinct problems ``site, file, kind, target, message`` of ``site, file, html`` pages.
 
-    ``files`` lists every file of the sites if some are not pages.
+    ``files`` lists every file of the sites if some are not pages.  Links are
+    extracted and resolved once; the checks work on the written target table.
     """
     html_pages = links.page_files(pages)
     all_files = (files if files is not None else pages).select("site", "file")
-    targets = links.page_targets(html_pages)
+    targets = materialize(links.page_targets(html_pages), "targets")
     none = F.lit(None).cast("string")
 
     def problem(frame: DataFrame, kind: str, message, target=none) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.operators import approvals, manifest as manifests, rules
+from corpusguard.session import materialize
 
 
 def rescan(files: DataFrame, allowlist: DataFrame, at: datetime | Column) -> DataFrame:
@@ -49,10 +50,14 @@ def verify_corpus(
     ruleset_sha256: str,
     directories: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations ``check, path, problem`` of published ``path, data``; empty means verified."""
-    scanned = rescan(files, allowlist, at)
+    """Violations ``check, path, problem`` of published ``path, data``; empty means verified.
+
+    The text is read once: the outcome of the re-scan is written, and every check
+    works on that narrow table.
+    """
+    scanned = materialize(rescan(files, allowlist, at), "rescan")
     if directories is None:
-        directories = directories_of(files)
+        directories = directories_of(scanned)
 
     def labelled(check: str, frame: DataFrame, problem: str = "problem") -> DataFrame:
         path = F.col("path") if "path" in frame.columns else F.lit(None).cast("string")
@@ -61,7 +66,7 @@ def verify_corpus(
     return (
         labelled("manifest", manifests.validate_manifest(manifest))
         .unionByName(labelled("header", header_problems(manifest, scanner_version, ruleset_sha256)))
-        .unionByName(labelled("digest", manifests.verify_manifest(manifests.hash_tree(files), manifest), "status"))
-        .unionByName(labelled("boundary", manifests.verify_boundary(files, directories, manifest)))
+        .unionByName(labelled("digest", manifests.verify_manifest(scanned, manifest), "status"))
+        .unionByName(labelled("boundary", manifests.verify_boundary(scanned, directories, manifest)))
         .unionByName(labelled("document", manifests.verify_documents(scanned, manifest)))
     )

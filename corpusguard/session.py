@@ -54,3 +54,14 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> Da
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= limit_bytes else df
+
+
+def fill_cores(table: DataFrame) -> DataFrame:
+    """Spread a stored table over all cores where its files give too few tasks.
+
+    The rules are bound by CPU.  A table of many files has more splits than the
+    cluster has cores and is returned as it is; only a small or badly split one pays
+    for a shuffle.  For plain scans only: counting splits must not run a job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

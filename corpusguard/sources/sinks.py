@@ -20,11 +20,13 @@ def write_exclusion_report(report: DataFrame, path: str) -> None:
 
 def inventory_problems(documents: DataFrame, header: DataFrame) -> DataFrame:
     """Header counts that do not reconcile with the documents."""
-    actual = documents.agg(F.count(F.lit(1)).alias("n"))
+    counts = ("candidate_count", "passed_count", "excluded_count")
+    declared = header.select(*counts, F.lit(0).cast("long").alias("n"))
+    actual = documents.select(*(F.lit(0).cast("long").alias(c) for c in counts), F.lit(1).cast("long").alias("n"))
     return (
-        header.crossJoin(F.broadcast(actual))
+        declared.unionByName(actual)
+        .agg(*(F.sum(c).alias(c) for c in (*counts, "n")))
         .where("candidate_count <> n or passed_count + excluded_count <> candidate_count")
-        .select("candidate_count", "passed_count", "excluded_count", "n")
     )
 
 

@@ -15,74 +15,108 @@ from pyspark.sql import functions as F
 
 from corpusguard.functions import paths
 from corpusguard.functions.text import digest
-from corpusguard.operators.manifest import hash_tree, reconcile, table_digest
+from corpusguard.operators.manifest import table_digest
 from corpusguard.sources.strict import InvalidTable, raise_if_any
 
 _POINTER = "sequence bigint, version string, tree_sha256 string"
 
 
+# Partition folders of a version: what readers see, and rows kept for the reports.
+DOCUMENT, INDEX, HELD = "document", "index", "held"
+
+
 def _pointer(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_POINTER).json(f"{root}/pointer")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
     """The newest pointer row; the pointer table has one row per publication."""
-    if not _exists(spark, f"{root}/pointer"):
+    if not exists(spark, f"{root}/pointer"):
         return None
     row = _pointer(spark, root).orderBy(F.desc("sequence")).limit(1).collect()
     return row[0].asDict() if row else None
 
 
+def version_folder(root: str, version: str) -> str:
+    return f"{root}/version={version}"
+
+
+def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """``path, data, sha256`` of a version; rows held back are pruned by folder."""
+    staged = spark.read.parquet(version_folder(root, version))
+    return staged.where(F.col("kind").isin(DOCUMENT, INDEX)).select("path", "data", "sha256")
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """``path, data`` of the visible snapshot."""
+    """The visible snapshot."""
     pointer = current(spark, root)
     if pointer is None:
         raise InvalidTable(f"{root} holds no published snapshot")
-    return spark.read.parquet(f"{root}/version={pointer['version']}")
+    return read_version(spark, root, pointer["version"])
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
-    """File rows a snapshot may not hold: bad or repeated paths."""
-    bad = files.where(~paths.valid_snapshot_path(F.col("path"))).select("path", F.lit("path").alias("problem"))
+    """File rows a snapshot may not hold: bad or repeated paths, text that is not its digest's."""
+    valid = paths.valid_snapshot_path(F.col("path"))
+    bad = files.where(~valid).select("path", F.lit("path").alias("problem"))
+    damaged = files.where(~digest(F.col("data")).eqNullSafe(F.col("sha256")))
     repeated = files.groupBy("path").count().where("count > 1")
-    return bad.unionByName(repeated.select("path", F.lit("duplicate").alias("problem")))
+    return (
+        bad.unionByName(damaged.select("path", F.lit("digest").alias("problem")))
+        .unionByName(repeated.select("path", F.lit("duplicate").alias("problem")))
+    )
 
 
-def publish_snapshot(
-    files: DataFrame, root: str, final_validation: Callable[[DataFrame], None] | None = None
+def stage(rows: DataFrame, root: str, version: str | None = None) -> str:
+    """Write rows ``path, data, sha256, kind`` (others may follow) into a version folder.
+
+    Call again with the returned version to add rows.
+    """
+    version = version or uuid.uuid4().hex
+    rows.write.mode("append").partitionBy("kind").parquet(version_folder(root, version))
+    return version
+
+
+def activate(
+    spark: SparkSession, root: str, version: str, final_validation: Callable[[DataFrame], None] | None = None
 ) -> dict:
-    """Stage, verify, validate, then advance the pointer.
+    """Read the staged version back, check it, validate, then advance the pointer.
 
-    ``files`` is ``path, data`` and may carry the ``sha256`` its producer computed;
-    the staged copy must hash to it.  Publishing an unchanged tree keeps the pointer.
+    An unchanged tree keeps the pointer where it is.
     """
-    spark = files.sparkSession
-    version = uuid.uuid4().hex
-    target = f"{root}/version={version}"
-    expected = files if "sha256" in files.columns else files.withColumn("sha256", digest(F.col("data")))
-    # The digest travels with the row it was computed for and is checked on read-back.
-    expected.select("path", "data", "sha256").write.mode("errorifexists").parquet(target)
-    staged = spark.read.parquet(target)
-    raise_if_any(invalid_files(staged), "snapshot paths are not valid")
-    changed = reconcile(
-        staged.select("path", "sha256"), hash_tree(staged), ("missing", "extra", "changed"), "sha256"
-    )
-    raise_if_any(changed, "staged snapshot failed its integrity check")
-    tree = table_digest(staged, ["path", "sha256"]).first()["sha256"]
+    staged = read_version(spark, root, version)
+    raise_if_any(invalid_files(staged), "staged snapshot failed its integrity check")
+    tree = table_digest(staged, ["path", "sha256"]).first()
     if final_validation is not None:
         final_validation(staged)
     visible = current(spark, root)
-    if visible is not None and visible["tree_sha256"] == tree:
+    tree_sha256 = tree["sha256"] if tree else ""
+    if visible is not None and visible["tree_sha256"] == tree_sha256:
         return visible
     row = {
         "sequence": (visible["sequence"] if visible else 0) + 1,
         "version": version,
-        "tree_sha256": tree,
+        "tree_sha256": tree_sha256,
     }
-    spark.createDataFrame([tuple(row.values())], _POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    pointer = spark.createDataFrame([tuple(row.values())], _POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
     return row
+
+
+def publish_snapshot(
+    files: DataFrame, root: str, final_validation: Callable[[DataFrame], None] | None = None
+) -> dict:
+    """Publish a file set ``path, data``.
+
+    ``files`` may carry the ``sha256`` its producer computed: the staged copy must
+    hash to it.
+    """
+    if "sha256" not in files.columns:
+        files = files.withColumn("sha256", digest(F.col("data")))
+    version = stage(files.select("path", "data", "sha256", F.lit(DOCUMENT).alias("kind")), root)
+    return activate(files.sparkSession, root, version, final_validation)
