@@ -242,6 +242,10 @@ def upsert_approval(spark, sf_dir):
 
 
 def review_requests(spark, sf_dir):
+    return seeds.written(spark, sf_dir, "requests", lambda: derived_requests(spark, sf_dir))
+
+
+def derived_requests(spark, sf_dir):
     """One request per document finding a reviewer might name, with planted faults."""
     found = source_findings(spark, sf_dir).where(F.col("level") == V.BLOCK)
     n = F.col("line") % 5

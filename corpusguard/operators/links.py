@@ -18,6 +18,9 @@ from corpusguard.functions.html import collapse_space, positive_attribute, strip
 from corpusguard.functions.regex import extract_all, java_pattern
 from corpusguard.functions.text import compute_once, contains_any, count_of, let, trim_space
 
+# Tasks that share the links to one hot missing target.
+_SALTS = 16
+
 
 def page_files(pages: DataFrame) -> DataFrame:
     return pages.where(F.lower(paths.extension(F.col("file"))) == ".html")
@@ -164,13 +167,15 @@ def page_targets(pages: DataFrame) -> DataFrame:
 def broken_links(targets: DataFrame, files: DataFrame) -> DataFrame:
     """Page and target pairs of ``page_targets`` whose target does not exist.
 
-    Targets are checked once each.  Only those without a file meet the links again;
-    that side holds one row per target, so a target linked from very many pages is
-    skewed on the probe side alone, which adaptive execution splits.
+    Targets are checked once each.  Only those without a file meet the links again,
+    and a missing target linked from very many pages is spread over salted keys: the
+    repeated side is the short list of missing targets.
     """
     internal = targets.where("status = 'internal'").select("site", "file", "target")
     missing = existing_targets(internal, files).where("found is null").select("site", "target")
-    return internal.join(missing, ["site", "target"], "left_semi").select("site", "file", "target")
+    salted = internal.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(_SALTS)).cast("int"))
+    every_salt = missing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(every_salt, ["site", "target", "salt"], "left_semi").select("site", "file", "target")
 
 
 @dataclass(frozen=True)

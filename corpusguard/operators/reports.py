@@ -22,10 +22,16 @@ _KNOWN_LEVELS = (V.BLOCK, V.WARNING)
 
 
 def validate_results(results: DataFrame) -> DataFrame:
-    """Problems that make scan results unusable for a report."""
-    bad_finding = lambda f: ~(
-        paths.valid_rule_id(f["rule_id"]) & (f["line"] >= 0) & (f["path"] == F.col("path"))
-    )
+    """Problems that make scan results unusable for a report.
+
+    Findings produced here have no path of their own; given ones must name their document.
+    """
+    own_path = "path" not in results.schema["findings"].dataType.elementType.names
+
+    def bad_finding(f: Column) -> Column:
+        good = paths.valid_rule_id(f["rule_id"]) & (f["line"] >= 0)
+        return ~(good if own_path else good & (f["path"] == F.col("path")))
+
     unknown_level = lambda f: ~f["level"].isin(*_KNOWN_LEVELS)
     rows = results.select(
         "path",

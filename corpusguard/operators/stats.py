@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.operators.transform import section_directories
 
@@ -26,12 +27,12 @@ def corpus_stats(published: DataFrame, candidates: DataFrame) -> DataFrame:
 def category_wall(published: DataFrame) -> DataFrame:
     """Documents and latest title per top-level section, largest first.
 
-    Ties of the latest document go to the lowest path.
+    Ties of the latest document go to the lowest path.  Counting per time first keeps
+    a section of any size in partial aggregates.
     """
     in_section = published.where(F.contains("path", F.lit("/"))).withColumn(
         "section", F.substring_index("path", "/", 1)
     )
-    # Ascending path under equal times: the maximum of (lastmod, -path) taken in two steps.
     per_time = in_section.groupBy("section", "lastmod").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("title", "path").alias("title")
     )
@@ -44,10 +45,11 @@ def category_wall(published: DataFrame) -> DataFrame:
 
 def recent_documents(published: DataFrame, limit: int = 6) -> DataFrame:
     """The latest documents with the title of their section and the date."""
+    directory = paths.directory(F.col("path"))
     top = published.orderBy(F.desc("lastmod"), "path").limit(limit)
     return top.select(
         "path",
         "title",
-        paths.base(paths.directory(F.col("path"))).alias("section"),
+        F.when(directory == ".", V.ROOT_SECTION_TITLE).otherwise(paths.base(directory)).alias("section"),
         F.date_format("lastmod", "yyyy-MM-dd").alias("date"),
-    ).orderBy(F.desc("date"), "path")
+    )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.operators import approvals, findings, reports, rules
+from corpusguard.sources import sinks
+from corpusguard.sources.strict import raise_if_any
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,13 @@ class Scan:
         return reports.scan_counts(self.results, *by)
 
 
+def write_reports(scan: Scan, root: str) -> None:
+    """Store the exclusion report and the inventory, after checking the results."""
+    raise_if_any(reports.validate_results(scan.results), "scan results are not usable")
+    sinks.write_exclusion_report(scan.exclusions, f"{root}/exclusions")
+    sinks.write_inventory(scan.inventory, scan.at, f"{root}/inventory")
+
+
 def scan_corpus(
     documents: DataFrame,
     allowlist: DataFrame,

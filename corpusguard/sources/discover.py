@@ -33,8 +33,9 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.md")
         .load(root)
     )
-    prefix = root.rstrip("/") + "/"
-    below = F.substr("path", F.instr("path", prefix) + F.lit(len(prefix)))
+    location = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location)
+    below = F.substr("path", F.lit(len(qualified.toString()) + 2))
     return files.select(
         below.alias("path"),
         "content",
