@@ -19,7 +19,7 @@ from corpusguard.functions.regex import matches_re2
 from corpusguard.functions.text import trim_space
 from corpusguard.operators.findings import is_approvable
 from corpusguard.schemas import ALLOWLIST, ENTRY_KEY, ENTRY_ORDER
-from corpusguard.session import broadcast_if_small
+from corpusguard.session import broadcast_if_measured_small, broadcast_if_small
 
 _DECIDED_BY = ["path", "rule_id", "level", "sha256", "fingerprint", "line"]
 
@@ -153,11 +153,11 @@ def mark_approved(
 ) -> DataFrame:
     """Add ``fingerprint`` and ``approved`` to each finding inside scan results.
 
-    One join per document instead of one per finding; with an allowlist small
-    enough to broadcast the documents are not shuffled at all.
+    One join per document instead of one per finding; with active approvals small
+    enough to broadcast, their size checked, the documents are not shuffled at all.
     """
-    by_document = broadcast_if_small(
-        approved_by_document(allowlist, at, side).withColumnRenamed("sha256", sha256)
+    by_document = broadcast_if_measured_small(
+        approved_by_document(allowlist, at, side).withColumnRenamed("sha256", sha256), "approved"
     )
 
     def mark(f: Column) -> Column:

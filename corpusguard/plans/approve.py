@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusguard.functions.text import trim_space
 from corpusguard.operators import approvals, findings as finding_ops, rules, transform
 from corpusguard.schemas import ALLOWLIST
-from corpusguard.session import broadcast_if_small
+from corpusguard.session import broadcast_if_measured_small
 from corpusguard.sources.strict import raise_if_any
 
 
@@ -41,7 +41,7 @@ def paired_requests(documents: DataFrame, requests: DataFrame, content: str, mod
 
     Only documents that a request names are scanned.
     """
-    named = documents.join(broadcast_if_small(requests.select("path").distinct()), "path", "left_semi")
+    named = documents.join(broadcast_if_measured_small(requests.select("path").distinct(), "requested"), "path", "left_semi")
     source, output = _sides(named, content, modified)
     pairs = finding_ops.pair_findings(source, output).select(
         "path",

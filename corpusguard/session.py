@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Bytes a join side may have to be sent to every executor.
+BROADCAST_LIMIT = 32 * 1024 * 1024
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the jobs rely on; everything else is the cluster's choice."""
@@ -47,13 +50,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Hint a broadcast only if the optimizer's size estimate is under the limit.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; enormous where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT) -> DataFrame:
+    """Hint a broadcast only if the size estimate is under the limit.
 
     Over the limit the frame is returned as it is and the join shuffles.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit_bytes else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
+
+
+def broadcast_if_measured_small(df: DataFrame, name: str, limit_bytes: int = BROADCAST_LIMIT) -> DataFrame:
+    """As above for a side that meets document text.
+
+    A large estimate often means an unknown size.  Shuffling all text is so much
+    dearer than this side that it is written once and its true size decides.
+    """
+    if estimated_bytes(df) <= limit_bytes:
+        return F.broadcast(df)
+    return broadcast_if_small(materialize(df, name), limit_bytes)
 
 
 def fill_cores(table: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from corpusguard.session import configure  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        configure(SparkSession.builder.master("local[8]").appName("tests"))
-        .config("spark.sql.shuffle.partitions", "8")
+        configure(SparkSession.builder.master("local[4]").appName("tests"))
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
