@@ -140,7 +140,7 @@ def references(line_table: str, name: str) -> tuple[str, str]:
         f"(SELECT path, line, {count('markdown_link')}, {groups('markdown_link', 1, 2)} FROM {line_table}) "
         f"UNION ALL SELECT path, line, 2, 0, false, {trim(f'regexp_extract(text, {definition}, 1)')} FROM {line_table} "
         f"WHERE regexp_matches(text, {definition}) "
-        f"UNION ALL SELECT path, line, 3, position, lower(g1) = 'src', "
+        f"UNION ALL SELECT path, line, 3, position, length(g1) = 3, "
         f"{trim(_FIRST)} FROM "
         f"(SELECT path, line, {count('html_resource')}, {groups('html_resource', 1, 2, 3, 4)} FROM {line_table})",
     )

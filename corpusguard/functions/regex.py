@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -10,27 +11,56 @@ from pyspark.sql import functions as F
 from corpusguard.fixed_values import PAGE_PATTERNS, PATTERNS
 
 _ASCII_SPACE = r"\t\n\f\r "
-_WORD = "0-9A-Za-z_"
-_BOUNDARY = f"(?-iu:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
-# Characters that fold into an ASCII letter outside ASCII: long s and the Kelvin sign.
-_FOLDED = r"\u017F\u212A"
+_WORD = "[0-9A-Za-z_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# Letters outside ASCII that fold into an ASCII letter: long s and the Kelvin sign.
+# Java's Unicode folding also takes the Turkish i's, so its flag cannot be used.
+_FOLDED = {"s": r"\u017F", "k": r"\u212A"}
+_TOKEN = re.compile(r"\\.|\[(?:\\.|\[:\w+:\]|[^\]\\])*\]|.", re.S)
+_CLASS_ITEM = re.compile(r"\\.|\[:\w+:\]|([A-Za-z])-([A-Za-z])|[A-Za-z]", re.S)
+
+
+def _both_cases(first: str, last: str) -> str:
+    """Class body with both cases of a letter range and what folds into it."""
+    low, high = first.lower(), last.lower()
+    ends = low if low == high else f"{low}-{high}"
+    return ends + ends.upper() + "".join(c for letter, c in _FOLDED.items() if low <= letter <= high)
+
+
+def _any_case(pattern: str) -> str:
+    """Spell out case folding: every letter becomes a class, every class holds both cases."""
+
+    def item(m: re.Match) -> str:
+        if m[1]:
+            return _both_cases(m[1], m[2])
+        return _both_cases(m[0], m[0]) if len(m[0]) == 1 else m[0]
+
+    def token(m: re.Match) -> str:
+        if len(m[0]) > 1 and m[0][0] == "[":
+            return _CLASS_ITEM.sub(item, m[0])
+        if m[0].isascii() and m[0].isalpha():
+            return f"[{_both_cases(m[0], m[0])}]"
+        return m[0]
+
+    return _TOKEN.sub(token, pattern)
 
 
 @lru_cache(maxsize=None)
 def java_pattern(re2: str) -> str:
     """Rewrite the places where the two dialects differ.
 
-    RE2 classes are ASCII, RE2 case folding is Unicode and RE2's ``$`` matches only
-    at the very end; Java's defaults differ in all three.
+    RE2 classes are ASCII, its case folding is Unicode's simple one and its ``$``
+    matches only at the very end; Java's defaults differ in all three.
     """
-    p = re2.replace(r"[^\s", f"[^{_ASCII_SPACE}")
+    p = re2
+    if p.startswith("(?i)"):
+        p = _any_case(p[4:])
+    elif p.startswith("(?is)"):
+        p = "(?s)" + _any_case(p[5:])
+    p = p.replace(r"[^\s", f"[^{_ASCII_SPACE}")
     p = p.replace(r"\b", _BOUNDARY)
     p = p.replace(r"\s", f"[{_ASCII_SPACE}]").replace(r"\S", f"[^{_ASCII_SPACE}]")
-    p = p.replace("[:space:]", r"\s")
-    if p.startswith(("(?i)", "(?is)")):
-        p = p.replace("[A-Z]", f"[A-Za-z{_FOLDED}]").replace("[A-Z0-9 ]", f"[A-Za-z0-9{_FOLDED} ]")
-        p = p.replace("(?i)", "(?iu)", 1).replace("(?is)", "(?isu)", 1)
-    return p.replace("$", r"\z")
+    return p.replace("[:space:]", r"\s").replace("$", r"\z")
 
 
 def matches(value: Column, name: str) -> Column:

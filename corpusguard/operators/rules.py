@@ -165,7 +165,8 @@ def html_resources(line: Column) -> Column:
     return F.transform(
         F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("name", "double", "single", "bare")))),
         lambda m: F.struct(
-            (F.lower(m["name"]) == "src").alias("is_image"),
+            # Of the two names only "src" has three letters, in whatever case.
+            (F.length(m["name"]) == 3).alias("is_image"),
             trim_space(
                 F.coalesce(
                     *(F.nullif(m[n], F.lit("")) for n in ("double", "single", "bare")), F.lit("")
