@@ -39,7 +39,7 @@ _LITERALS = {
     "html_resource": ("=",),
 }
 _HOST_LITERALS = ("local", ".internal", ".lan")
-_TOKEN_LITERALS = ("AKIA", "xox", "sk-")
+_DASHED_TOKENS = ("xox", "sk-")
 _UNDERSCORED_TOKENS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")
 
 # Rule -> patterns, in emission order.
@@ -56,15 +56,24 @@ LINE_RULES = {
 
 
 def _guard(line: Column, pattern: str) -> Column:
+    """Necessary condition for one pattern; a shared character is looked for first."""
     if pattern == "private_host":
         return let(F.lower(line), lambda lowered: contains_any(lowered, *_HOST_LITERALS))
+    if pattern == "private_ipv4":
+        return F.contains(line, F.lit("1")) & contains_any(line, *_LITERALS[pattern])
     if pattern == "token":
-        return contains_any(line, *_TOKEN_LITERALS) | (
-            F.contains(line, F.lit("_")) & contains_any(line, *_UNDERSCORED_TOKENS)
-        )
+        return _dashed(line, *_DASHED_TOKENS) | _underscored_token(line) | F.contains(line, F.lit("AKIA"))
     return contains_any(line, *_LITERALS[pattern])
 
 
+def _dashed(line: Column, *literals: str) -> Column:
+    return F.contains(line, F.lit("-")) & contains_any(line, *literals)
+
+
+def _underscored_token(line: Column) -> Column:
+    return F.contains(line, F.lit("_")) & contains_any(line, *_UNDERSCORED_TOKENS)
+
+
 def _guarded_match(line: Column, pattern: str) -> Column:
     return _guard(line, pattern) & matches(line, pattern)
 
@@ -79,8 +88,9 @@ def _may_fire(line: Column) -> Column:
     return (
         contains_any(line, ":", "/", "=", "[", "<")
         | _guard(line, "private_ipv4")
-        | _guard(line, "token")
-        | _guard(line, "private_key")
+        | _dashed(line, *_DASHED_TOKENS, *_LITERALS["private_key"])
+        | _underscored_token(line)
+        | F.contains(line, F.lit("AKIA"))
         | _guard(line, "private_host")
     )
 
