@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from checks import seeds
 from checks import sql as S
 from checks.base import check
-from checks.scanning import source_findings
+from checks.scanning import EXTERNAL, source_findings
 from corpusguard import fixed_values as V
 from corpusguard.functions import text as text_fns
 from corpusguard.operators import approvals, findings, reports, rules, transform
 from corpusguard.plans import approve, publish, scan
 from corpusguard.schemas import ALLOWLIST
-from corpusguard.session import new_folder
+from corpusguard.session import materialize, new_folder
 from corpusguard.sources import sinks, strict
 
 AT = seeds.AT
@@ -450,14 +450,15 @@ def validate_results(spark, sf_dir):
 @check("write_exclusion_report", S.with_(_REPORT, _FLAT_REPORT))
 def write_exclusion_report(spark, sf_dir):
     target = new_folder(spark, "exclusions")
-    sinks.write_exclusion_report(reports.exclusion_report(marked_results(spark, sf_dir), AT), target)
+    results = materialize(marked_results(spark, sf_dir), "results")
+    sinks.write_exclusion_report(reports.exclusion_report(results, AT), target)
     return reports.report_findings(strict.load_report(spark, target))
 
 
 @check("write_inventory", S.with_(S.MARKED, _INVENTORY.replace("LEFT JOIN", "JOIN")))
 def write_inventory(spark, sf_dir):
     target = new_folder(spark, "inventory")
-    documents = reports.inventory_documents(marked_results(spark, sf_dir))
+    documents = reports.inventory_documents(materialize(marked_results(spark, sf_dir), "results"))
     sinks.write_inventory(documents, AT, target)
     stored = spark.read.schema(documents.schema).json(f"{target}/documents")
     return reports.inventory_findings(stored).where("rule is not null")
@@ -517,3 +518,25 @@ def select_publishable(spark, sf_dir):
     # Digests only: the text stays out of the join.
     candidates = docs.select("path", text_fns.digest(F.col("text")).alias("sha256"))
     return publish.select_publishable(candidates, unapproved)
+
+
+@check(
+    "scan_with_external",
+    S.with_(
+        S.MARKED
+        + EXTERNAL[1:]
+        + [
+            (
+                "merged",
+                "SELECT path, level, approved FROM s_marked UNION ALL SELECT path, level, false FROM (SELECT DISTINCT * FROM external_findings)",
+            )
+        ],
+        _COUNTS.replace("s_marked", "merged"),
+    ),
+)
+def scan_with_external(spark, sf_dir):
+    """Counts per section with an outside scanner's findings merged in."""
+    outcome = scan.scan_corpus(
+        seeds.documents(spark, sf_dir), seeds.allowlist(spark, sf_dir), AT, seeds.external(spark, sf_dir)
+    )
+    return reports.scan_counts(outcome.results.withColumn("section", section()), "section")

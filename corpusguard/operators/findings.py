@@ -10,6 +10,7 @@ from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
 from corpusguard.functions.text import trim_space
 from corpusguard.schemas import FINDINGS
+from corpusguard.session import broadcast_if_measured_small
 
 
 def sanitize_rule_id(value: Column) -> Column:
@@ -56,7 +57,8 @@ def attach_external(results: DataFrame, external: DataFrame) -> DataFrame:
     """Merge external findings into the ``findings`` arrays of scan results.
 
     External identifiers carry their own prefix and cannot collide with own rules,
-    so each side is de-duplicated alone.  The group is one document's findings.
+    so each side is de-duplicated alone.  The group is one document's findings.  The
+    results may still carry text, so the external side is measured before the join.
     """
     extra = (
         external_findings(external)
@@ -65,7 +67,8 @@ def attach_external(results: DataFrame, external: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("line", "rule_id", "level", "reason", "approvable")).alias("_extra"))
     )
     merged = F.sort_array(F.concat("findings", F.coalesce("_extra", F.array().cast(FINDINGS))))
-    return results.join(extra, "path", "left").withColumn("findings", merged).drop("_extra")
+    measured = broadcast_if_measured_small(extra, "external")
+    return results.join(measured, "path", "left").withColumn("findings", merged).drop("_extra")
 
 
 def blocking_findings(findings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
 from corpusguard.functions.text import compute_once, digest
 from corpusguard.operators import approvals, findings as finding_ops, manifest, rules, transform
-from corpusguard.plans.scan import Scan, write_reports
+from corpusguard.plans.scan import Scan, store_reports
 from corpusguard.session import materialize
 from corpusguard.sources import sinks, snapshot
 from corpusguard.sources.strict import InvalidTable, raise_if_any
@@ -156,7 +156,7 @@ def publish_corpus(
     version = snapshot.stage(staged_rows(decided), content_root)
     outcomes = read_outcomes(spark, content_root, version)
     built = build_snapshot(outcomes, outcomes.select("path"), scanner_version, ruleset_sha256, at)
-    write_reports(built.scan, f"{root}/reports")
+    store_reports(built.scan, f"{root}/reports")
     ordered = materialize(manifest.encode_manifest(built.manifest), "manifest")
     snapshot.stage(
         built.indexes.select("path", "data", "sha256", F.lit(snapshot.INDEX).alias("kind")), content_root, version

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.operators import approvals, findings, reports, rules
+from corpusguard.session import materialize
 from corpusguard.sources import sinks
 from corpusguard.sources.strict import raise_if_any
 
@@ -37,7 +38,15 @@ class Scan:
 
 
 def write_reports(scan: Scan, root: str) -> None:
-    """Store the exclusion report and the inventory, after checking the results."""
+    """Store the exclusion report and the inventory of a scan.
+
+    The results are written first: the text is scanned once for all checks and reports.
+    """
+    store_reports(Scan(materialize(scan.results, "results"), scan.at), root)
+
+
+def store_reports(scan: Scan, root: str) -> None:
+    """Check stored results, then write both reports from them."""
     raise_if_any(reports.validate_results(scan.results), "scan results are not usable")
     sinks.write_exclusion_report(scan.exclusions, f"{root}/exclusions")
     sinks.write_inventory(scan.inventory, scan.at, f"{root}/inventory")

@@ -3,8 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusguard.operators import manifest, stats, transform
-from corpusguard.plans import publish, verify
+from corpusguard.operators import findings, manifest, rules, stats, transform
+from corpusguard.plans import approve, publish, verify
 from corpusguard.schemas import ALLOWLIST
 from corpusguard.sources import discover, snapshot, strict
 
@@ -21,7 +21,7 @@ def corpus(spark, extra=()):
             ("b/escape.md", "![i](../../x.png)\n", datetime(2026, 1, 1)),
             ("c/_index.md", "hand-made index\n", datetime(2026, 1, 1)),
             ("c/front.md", "---\na: b\n---\nx\n", datetime(2026, 1, 1)),
-            # The heading hides a fence end, so only the published text is unsafe.
+            # A wiki link needs both brackets on one line.
             ("d/late.md", "# [[x]\nbody]]\n", datetime(2026, 1, 1)),
             *extra,
         ],
@@ -60,11 +60,23 @@ def test_outcomes(spark):
 
 
 def test_output_that_becomes_unsafe_is_held_back(spark):
-    # Escaping the title for the header joins two characters into a drive path.
-    docs = corpus(spark, [("e/quote.md", '# "[[" ]]\n', None), ("e/open.md", "~~~\n# x\n", None)])
-    decided = publish.decide_outcomes(docs, empty(spark), AT).where("path like 'e/%'")
-    outcome = {r["path"]: r["outcome"] for r in decided.collect()}
-    assert outcome["e/open.md"] == "blocked"
+    """An approved source finding without an approved output finding stays back."""
+    docs = corpus(spark, [("e/host.md", "# h\n10.1.2.3\n", None)])
+    named = docs.where("path = 'e/host.md'")
+    found = findings.with_fingerprint(rules.flatten_findings(rules.scan_documents(named)))
+    asked = found.select(
+        "path", "fingerprint", F.lit("reviewed").alias("reason"), F.lit(datetime(2026, 1, 1)).alias("approved_at"),
+        F.lit(datetime(2027, 1, 1)).alias("expires_at"), F.lit(1).alias("batch"),
+    )
+    allowlist = approve.approve_findings(named, asked, empty(spark)).allowlist
+    outcome = lambda a: publish.decide_outcomes(named, a, AT).first()
+    assert outcome(allowlist)["outcome"] == "published"
+    assert outcome(allowlist)["approved_rules"] == ["network.private-address"]
+    row = outcome(allowlist.withColumn("output_sha256", F.lit("0" * 64)))
+    assert row["outcome"] == "content.output-safety-mismatch"
+    assert [(f["line"], f["rule_id"], f["approved"]) for f in row["findings"]] == [
+        (2, "network.private-address", True), (0, "content.output-safety-mismatch", False),
+    ]
 
 
 def test_one_stage_of_text(spark):
