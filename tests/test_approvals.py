@@ -14,9 +14,9 @@ BODY = "# Title\n\nhost 10.1.2.3\nother 10.1.2.4\n"
 OPEN = datetime(2026, 7, 1)
 
 
-def documents(spark, body=BODY, path="notes/example.md"):
+def documents(spark, body=BODY, path="team/hosts.md"):
     return spark.createDataFrame(
-        [(path, body, datetime(2026, 1, 1)), ("notes/clean.md", "nothing", None)],
+        [(path, body, datetime(2026, 1, 1)), ("team/clean.md", "nothing", None)],
         "path string, text string, modified_at timestamp",
     )
 
@@ -112,7 +112,7 @@ def test_bad_requests_are_refused(spark):
         ("fine", OPEN, "expires_at"),
         ("fine", later, None),
     ]
-    names = [f"notes/r{i}.md" for i in range(len(bad))]
+    names = [f"team/r{i}.md" for i in range(len(bad))]
     docs = spark.createDataFrame(
         [(name, BODY, None) for name in names], "path string, text string, modified_at timestamp"
     )
@@ -149,13 +149,13 @@ def test_report_and_inventory(spark, approved, tmp_path):
     counts = run.counts().first().asDict()
     assert counts == {"candidates": 2, "passed": 1, "excluded": 1, "warnings": 1}
     report = run.exclusions.collect()
-    assert [r["path"] for r in report] == ["notes/example.md"]
+    assert [r["path"] for r in report] == ["team/hosts.md"]
     assert {f["reason"] for f in report[0]["findings"]} == {V.SAFE_REASONS[V.PRIVATE_NETWORK]}
     assert [f["line"] for f in report[0]["findings"]] == [3, 4]
     assert reports.validate_report(run.exclusions).isEmpty()
     inventory = {r["path"]: r for r in run.inventory.collect()}
-    assert inventory["notes/clean.md"]["status"] == "passed"
-    assert len(inventory["notes/example.md"]["findings"]) == 3
+    assert inventory["team/clean.md"]["status"] == "passed"
+    assert len(inventory["team/hosts.md"]["findings"]) == 3
     scan.write_reports(run, str(tmp_path / "reports"))
     first = strict.load_report(spark, str(tmp_path / "reports/exclusions"))
     assert first.drop("version").exceptAll(run.exclusions.drop("version")).isEmpty()

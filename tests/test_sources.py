@@ -9,16 +9,16 @@ from corpusguard.streaming.incremental import write_findings
 
 
 def test_read_tree_and_discovery(spark, tmp_path):
-    for name in ("alpha.md", "分类/有 空格.md", "UPPER.MD", "note.txt", "draft.tmp.md", "x%20y/z+1.md"):
+    for name in ("one.md", "目录/两 词.md", "LOUD.MD", "list.txt", "old.bak.md", "x%20y/z+1.md"):
         target = tmp_path / "tree" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(f"# {name}", encoding="utf8")
     tree = discover.read_tree(spark, str(tmp_path / "tree"))
     found = discover.discover_documents(tree).orderBy("path").collect()
-    assert [r["path"] for r in found] == ["alpha.md", "x%20y/z+1.md", "分类/有 空格.md"]
-    assert found[0]["size"] == len("# alpha.md")
+    assert [r["path"] for r in found] == ["one.md", "x%20y/z+1.md", "目录/两 词.md"]
+    assert found[0]["size"] == len("# one.md")
     assert {r["path"]: r["reason"] for r in discover.skipped_paths(tree).collect()} == {
-        "draft.tmp.md": "hidden-or-temporary"
+        "old.bak.md": "hidden-or-temporary"
     }
 
 
