@@ -63,9 +63,29 @@ def java_pattern(re2: str) -> str:
     return p.replace("[:space:]", r"\s").replace("$", r"\z")
 
 
+# Java backtracks where RE2 does not: tried from every bracket or word of a very long
+# line, three patterns take quadratic time.  These forms find the same (and capture the
+# same) but start once per stretch that can hold a match:
+# - a scheme from the start of its run of scheme characters,
+# - a bracket pair from its first bracket after the previous "]" or match.
+_RUN = r"[a-zA-Z0-9+.\-\u017F\u212A]"
+_STRETCH = r"(?:\G|(?<=\]))"
+_LINEAR = {
+    "credential_url": rf"(?<!{_RUN})(?={_RUN}*+://)(?>{_RUN}*?{_BOUNDARY}[a-zA-Z\u017F\u212A]){_RUN}*+"
+    r"://[^/\s:@]+:[^/\s@]{4,}@",
+    "wiki_link": rf"{_STRETCH}(?>[^\]]*?\[\[)[^\]]++\]\]",
+    "markdown_link": rf"{_STRETCH}(?>[^\[\]]*?(!?)\[)[^\]]*+\]\("
+    + java_pattern(PATTERNS["markdown_link"]).split(r"\]\(", 1)[1],
+}
+
+
+def line_pattern(name: str) -> str:
+    return _LINEAR.get(name) or java_pattern(PATTERNS[name])
+
+
 def matches(value: Column, name: str) -> Column:
     """True if the named line pattern is found in ``value``."""
-    return F.rlike(value, F.lit(java_pattern(PATTERNS[name])))
+    return F.rlike(value, F.lit(line_pattern(name)))
 
 
 def matches_re2(value: Column, re2: str) -> Column:
@@ -73,5 +93,5 @@ def matches_re2(value: Column, re2: str) -> Column:
 
 
 def extract_all(value: Column, name: str, group: int) -> Column:
-    source = PATTERNS.get(name) or PAGE_PATTERNS[name]
-    return F.regexp_extract_all(value, F.lit(java_pattern(source)), F.lit(group))
+    pattern = line_pattern(name) if name in PATTERNS else java_pattern(PAGE_PATTERNS[name])
+    return F.regexp_extract_all(value, F.lit(pattern), F.lit(group))

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import sql as S
+from corpusguard import fixed_values as V
+from corpusguard.functions import regex
 from corpusguard.functions.text import digest
 from corpusguard.operators import links, rules, transform
 
@@ -88,3 +90,40 @@ def test_links_agree(spark):
     ).fetchall()
     actual = links.resolve_links(spark.createDataFrame(frame)).collect()
     assert {tuple(r) for r in actual} == set(expected)
+
+
+@pytest.mark.parametrize(
+    "name, alphabet, groups",
+    [
+        ("markdown_link", "[]]()(!!a <>\t", (1, 2)),
+        ("wiki_link", "[[]]a ", ()),
+        ("credential_url", "a1-+.:://@@_b kK ", ()),
+    ],
+)
+def test_linear_forms_find_the_same(spark, name, alphabet, groups):
+    """Patterns rewritten for long lines, on short strings dense in their delimiters."""
+    draw = random.Random(name)
+    pieces = [*alphabet, "](", "://", "[[", "aa:bbbb@"]
+    texts = sorted({"".join(draw.choice(pieces) for _ in range(draw.randint(1, 16))) for _ in range(12000)})
+    connection = duckdb.connect()
+    connection.register("made", pd.DataFrame({"text": texts}))
+    pattern = S.lit(V.PATTERNS[name])
+    frame = spark.createDataFrame(pd.DataFrame({"text": texts}))
+    text = F.col("text")
+    found = frame.select(
+        "text", regex.matches(text, name).alias("m"), *(regex.extract_all(text, name, g).alias(f"g{g}") for g in groups)
+    )
+    columns = "".join(
+        f", list_transform(regexp_extract_all(text, {pattern}, {g}), lambda x: coalesce(x, ''))" for g in groups
+    )
+    expected = connection.execute(f"SELECT text, regexp_matches(text, {pattern}){columns} FROM made").fetchall()
+    got = {r["text"]: tuple(r)[1:] for r in found.collect()}
+    assert sum(r[1] for r in expected) > 50
+    assert [t for t, *rest in expected if got[t] != tuple(rest)] == []
+
+
+def test_long_lines_take_linear_time(spark):
+    """Without the rewritten forms each of these needs minutes."""
+    rows = [("a.md", "[" * 60000 + "](a b"), ("b.md", "a-" * 60000 + "://x"), ("c.md", "[[a " * 30000)]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    assert rules.flatten_findings(rules.scan_documents(docs)).count() == 0
