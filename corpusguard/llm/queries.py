@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import exact_dedup, html, language, secrets, toxicity
+from corpusguard.llm import bpe, exact_dedup, html, language, lattice_lm, secrets, toxicity
 from corpusguard.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,16 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), keep=[F.col("page_id"), F.col("url")])
 
 
+def byte_vocabulary() -> bpe.Vocabulary:
+    return bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=[F.col("doc_id")])
+    return bpe.with_digests(encoded, vocabulary)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
     base = F.filter("secrets", lambda s: s["kind"] != "entropy")
@@ -39,6 +50,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("training"))
+    existing = lattice_lm.load_existing(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.score_documents(docs, existing, "training").drop("training")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -68,7 +86,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
+    "op5_lattice_score": op5_lattice_score,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
 }

@@ -8,17 +8,23 @@ from dataclasses import dataclass, field
 from math import exp, log
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.llm.common import ddl, kept_columns
+from corpusguard.session import materialize
 
 # Labelled documents used for fitting at most (chosen by hash of the id, so always the same).
 FIT_ROWS = 20_000
 # Log-likelihood ratio that a word or a word beginning must reach to enter the lexicon.
-WORD_EVIDENCE, STEM_EVIDENCE = 25.0, 60.0
+WORD_EVIDENCE, STEM_EVIDENCE = 32.0, 60.0
 # Share of documents with the word that must be toxic.
 PRECISION = 0.9
+# A longer beginning takes the place of a shorter one that has hardly more words.
+SAME_STEM = 0.85
+# Fitting rows that share the least hash of their word triples and the label are copies; one of them counts.
+FAMILY_WORDS = 3
 # A beginning needs this length and this many different words.
 STEM_LENGTHS, STEM_WORDS = range(4, 8), 8
 # Edits allowed from these lengths of a lexicon word on.
@@ -177,8 +183,9 @@ class Model:
         return plain * share
 
     def score(self, hits: set[tuple[int, int, bool]]) -> float:
-        """Between 0 and 1; hits at the same odds as none where all weights are nil."""
-        odds = self.base + sum(sorted(map(self.weight, hits))) if hits else self.clean
+        """Between 0 and 1, by the gravest hit: hits of one text are far from independent."""
+        worst = max(map(self.weight, hits), default=0.0)
+        odds = self.base + worst if worst > 0 else self.clean
         return 1 / (1 + exp(-max(-50.0, min(50.0, odds))))
 
 
@@ -217,7 +224,7 @@ def learn_lexicon(rows: DataFrame, all_toxic: int, all_clean: int) -> tuple[tupl
     summed = (F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = rows.mapInArrow(words, "word string, toxic long, clean long").groupBy("word").agg(*summed)
     evidence = _evidence(F.col("toxic"), F.col("clean"), all_toxic, all_clean)
-    whole = counted.where(evidence >= WORD_EVIDENCE).select(F.col("word").alias("term"), F.lit(False).alias("stem"))
+    whole = counted.where(evidence >= WORD_EVIDENCE).select(F.col("word").alias("term"))
     lengths = F.array(*map(F.lit, STEM_LENGTHS))
     beginnings = (
         counted.select("*", F.explode(lengths).alias("length"))
@@ -225,15 +232,28 @@ def learn_lexicon(rows: DataFrame, all_toxic: int, all_clean: int) -> tuple[tupl
         .groupBy(F.substring("word", F.lit(1), F.col("length")).alias("term"))
         .agg(*summed, F.count("*").alias("words"))
         .where((F.col("words") >= STEM_WORDS) & (evidence >= STEM_EVIDENCE))
-        .select("term", F.lit(True).alias("stem"))
+        .select("term", "words")
     )
-    found = sorted((r["term"], r["stem"]) for r in whole.union(beginnings).collect())
+    stems = narrowest({r["term"]: r["words"] for r in beginnings.collect()})
+    kept = sorted(r["term"] for r in whole.collect())
+    return tuple([(t, False) for t in kept if not t.startswith(tuple(stems))] + [(t, True) for t in stems])
+
+
+def narrowest(words: dict[str, int]) -> list[str]:
+    """Beginnings without those that go on from another, each made as long as it keeps its words."""
     stems: list[str] = []
-    for term in sorted((t for t, stem in found if stem), key=lambda t: (len(t), t)):
-        if not any(term.startswith(shorter) for shorter in stems):
-            stems.append(term)
-    kept = [(t, False) for t, stem in found if not stem and not t.startswith(tuple(stems))]
-    return tuple(kept + [(t, True) for t in sorted(stems)])
+    for term in sorted(words, key=lambda t: (len(t), t)):
+        if any(term.startswith(stem) or stem.startswith(term) for stem in stems):
+            continue
+        longer = term
+        while longer:
+            term = longer
+            longer = max(
+                (t for t in words if len(t) == len(term) + 1 and t[:-1] == term and words[t] >= SAME_STEM * words[term]),
+                default="",
+            )
+        stems.append(term)
+    return sorted(stems)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = FIT_ROWS) -> Model:
@@ -250,21 +270,41 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .orderBy(F.xxhash64(doc_id), doc_id)
         .limit(limit)
     )
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.col(text).alias("text"), "toxic")
+    labelled = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.col(text).alias("text"), "toxic")
+    rows = one_of_each_family(materialize(labelled, "toxicity-fit"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     all_toxic, all_clean = totals.get(1, 0), totals.get(0, 0)
     terms = learn_lexicon(rows, all_toxic, all_clean) if all_toxic and all_clean else ()
     counted = count_hits(rows, terms)
-    rate = lambda n, total: (n + 0.5) / (total + 1)
     prior = log((all_toxic + 0.5) / (all_clean + 0.5))
-    weights = {
-        hit: log(rate(toxic, all_toxic) / rate(clean, all_clean)) for hit, (toxic, clean) in counted.items() if hit[0] >= 0
-    }
-    toxic, clean = counted.get((-1, 0, False), (0, 0))
-    no_hits = prior + log(rate(toxic, all_toxic) / rate(clean, all_clean)) if terms else prior
+    # Clean documents get more benefit of the doubt, so that a few chance hits don't condemn.
+    odds = lambda toxic, clean, doubt: log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (clean + doubt))
+    weights = {hit: odds(*found, 2.0) for hit, found in counted.items() if hit[0] >= 0}
+    no_hits = prior + odds(*counted.get((-1, 0, False), (0, 0)), 0.5) if terms else prior
     return Model(terms, weights, prior, min(no_hits, -0.01) if all_clean >= all_toxic else no_hits)
 
 
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """Rows (text, toxic) without near copies, which would count a chance word many times."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            families = []
+            for text in batch.column("text").to_pylist():
+                words = WORD.findall((text or "").lower())
+                count = max(1, len(words) - FAMILY_WORDS + 1)
+                families.append(min(xxhash.xxh64_intdigest(" ".join(words[k : k + FAMILY_WORDS])) for k in range(count)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("text"), batch.column("toxic"), pa.array([f - (1 << 63) for f in families], pa.int64())],
+                ["text", "toxic", "family"],
+            )
+
+    sketched = rows.mapInArrow(sketch, "text string, toxic int, family long")
+    return materialize(sketched.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxicity-fit").select(
+        "text", "toxic"
+    )
+
+
 def count_hits(rows: DataFrame, terms: tuple[tuple[str, bool], ...]) -> dict[tuple[int, int, bool], tuple[int, int]]:
     """Toxic and clean documents by kind of hit; (-1, 0, False) stands for documents without any."""
 
