@@ -182,12 +182,12 @@ def with_decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def with_digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Replaces ids by n_tokens, ids_sha256 and decoded_sha256, without moving decoded texts through the JVM."""
+    """Adds n_tokens, ids_sha256 and decoded_sha256, without moving decoded texts through the JVM."""
 
     def digests(ids: bytes, tokens: list[bytes]) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, tokens)).hexdigest()
 
-    return _with(encoded, vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests).drop("ids")
+    return _with(encoded, vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
 def _with(encoded: DataFrame, vocabulary: Vocabulary, added: str, function: Callable) -> DataFrame:

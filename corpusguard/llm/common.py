@@ -9,11 +9,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusguard.session import broadcast_if_measured_small, new_folder
+
 # Rows of a batch handed to Python; texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 2000
 
 # Characters that one block of documents holds at most (a longer text is a block of its own).
 BLOCK_CHARS = 32 * 1024 * 1024
+# Documents of a block at most, however short.
+BLOCK_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder, closely packed, and read back; lineage ends there."""
+    target = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[str]:
-    """A string column as Python strings, null as the empty text."""
-    return [value or "" for value in batch.column(name).to_pylist()]
-
-
 def numbered_blocks(
     batches: Iterator[pa.RecordBatch], text: str, limit: int
 ) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -42,15 +48,16 @@ def numbered_blocks(
     """
     first = TaskContext.get().partitionId() << 32
     held: list[pa.RecordBatch] = []
-    size = sequence = 0
+    size = rows = sequence = 0
     for batch in batches:
         start = 0
         for row, value in enumerate(batch.column(text)):
             size += len(value.as_buffer() or b"") if value.is_valid else 0
-            if size >= limit:
+            rows += 1
+            if size >= limit or rows >= BLOCK_ROWS:
                 held.append(batch.slice(start, row + 1 - start))
                 yield first + sequence, held
-                held, size, sequence, start = [], 0, sequence + 1, row + 1
+                held, size, rows, sequence, start = [], 0, 0, sequence + 1, row + 1
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
@@ -65,3 +72,24 @@ def kept_columns(df: DataFrame, text: str, keep: list[Column] | None, replaced:
 
 def ddl(df: DataFrame, without: str = "__text") -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != without)
+
+
+
+def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that `named` (doc_id, text_hash) lists; of rows that repeat one another, one.
+
+    Names are small beside texts and are broadcast if their measured size allows;
+    otherwise both sides are shuffled.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    names = named.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__name")).distinct()
+    names = broadcast_if_measured_small(names, "names")
+    twice = hashed.groupBy("doc_id", "__hash").count().where("count > 1").select(
+        F.col("doc_id").alias("__id"), F.col("__hash").alias("__name")
+    )
+    twice = broadcast_if_measured_small(twice, "names")
+    same = hashed["doc_id"].eqNullSafe(F.col("__id")) & (hashed["__hash"] == F.col("__name"))
+    kept = hashed.join(names, same, "left_semi")
+    once = kept.join(twice, same, "left_anti")
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return once.union(again).select(docs.columns)

@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import ddl
+from corpusguard.llm.common import ddl, store
 from corpusguard.llm.word_blocks import Numbering, block_table, documents_of, spread_words, unpack
-from corpusguard.session import materialize
 
 # Passes of expectation and maximization over all distinct words of the training texts.
 PASSES = 3
@@ -355,7 +354,7 @@ def score_documents(
     keep = keep or [docs[f"`{c}`"] for c in docs.columns if c not in own]
     table = block_table(docs, text, keep, _slots_of, counted=training)
     words = spread_words(table)
-    counted = materialize(count_words(words), "words")
+    counted = store(count_words(words), "words")
     found = counted.agg(
         F.sum(F.size("words")), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b))
     ).first()

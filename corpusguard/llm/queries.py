@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import bpe, exact_dedup, html, language, lattice_lm, secrets, toxicity
+from corpusguard.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html,
+    language,
+    lattice_lm,
+    ngram_join,
+    secrets,
+    substring_dedup,
+    toxicity,
+)
 from corpusguard.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +43,7 @@ def byte_vocabulary() -> bpe.Vocabulary:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_vocabulary()
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=[F.col("doc_id")])
-    return bpe.with_digests(encoded, vocabulary)
+    return bpe.with_digests(encoded, vocabulary).drop("ids")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +68,21 @@ def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(docs, existing, "training").drop("training")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join_near(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity_model(spark, docs, sf_dir)
     scored = toxicity.score_toxicity(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
     return scored.select("doc_id", "held_out", "score", "predicted", "toxic_terms")
 
@@ -70,6 +92,45 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=[F.col("doc_id")]
+    )
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+           WHEN len(words) = 0 THEN []
+           WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS gram
+  FROM w
+), n AS (
+  SELECT w.doc_id, count(gram) AS n_shingles FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * shared >= 85 * (na.n_shingles + nb.n_shingles - shared)
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM n
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached
+)
+SELECT n.doc_id, n.n_shingles, min(r.reached) AS component_id
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -83,14 +144,39 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 48),
+           lambda i: struct_pack(p := i, body := array_to_string(words[i:i + 49], ' ')))) AS x
+  FROM w WHERE len(words) >= 50
+), f AS (
+  SELECT x.body AS body, min(doc_id) AS least FROM s GROUP BY x.body
+), g AS (
+  SELECT DISTINCT doc_id, x.p + o AS q
+  FROM s JOIN f ON f.body = s.x.body AND s.doc_id > f.least, (SELECT unnest(range(50)) AS o)
+), c AS (
+  SELECT doc_id, count(*) AS n_removed, list(q) AS gone FROM g GROUP BY doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+         ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_html_extraction": op2_html_extraction,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_lattice_score": op5_lattice_score,
+    "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}

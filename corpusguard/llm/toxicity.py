@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import ddl, kept_columns
-from corpusguard.session import materialize
+from corpusguard.llm.common import ddl, kept_columns, store
 
 # Labelled documents used for fitting at most (chosen by hash of the id, so always the same).
 FIT_ROWS = 20_000
@@ -271,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(limit)
     )
     labelled = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.col(text).alias("text"), "toxic")
-    rows = one_of_each_family(materialize(labelled, "toxicity-fit"))
+    rows = one_of_each_family(store(labelled, "toxicity-fit"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     all_toxic, all_clean = totals.get(1, 0), totals.get(0, 0)
     terms = learn_lexicon(rows, all_toxic, all_clean) if all_toxic and all_clean else ()
@@ -300,7 +299,7 @@ def one_of_each_family(rows: DataFrame) -> DataFrame:
             )
 
     sketched = rows.mapInArrow(sketch, "text string, toxic int, family long")
-    return materialize(sketched.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxicity-fit").select(
+    return store(sketched.groupBy("family", "toxic").agg(F.min("text").alias("text")), "toxicity-fit").select(
         "text", "toxic"
     )
 

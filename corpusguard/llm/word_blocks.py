@@ -18,8 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import BLOCK_CHARS, ddl, kept_columns, numbered_blocks
-from corpusguard.session import materialize
+from corpusguard.llm.common import BLOCK_CHARS, ddl, kept_columns, numbered_blocks, store
 
 # Words of a row of the block table.
 ROW_WORDS = 50_000
@@ -114,7 +113,7 @@ def block_table(docs: DataFrame, text: str, keep: list, slots_of: Callable[[], C
                 )
 
     schema = ddl(kept) + "block long, row long, slots binary, first long, words array<binary>, uses array<bigint>"
-    return materialize(kept.mapInArrow(cut, schema), "word-blocks")
+    return store(kept.mapInArrow(cut, schema), "word-blocks")
 
 
 def documents_of(table: DataFrame) -> DataFrame:
