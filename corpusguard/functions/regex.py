@@ -64,8 +64,8 @@ def java_pattern(re2: str) -> str:
 
 
 # Java backtracks where RE2 does not: tried from every bracket or word of a very long
-# line, three patterns take quadratic time.  These forms find the same (and capture the
-# same) but start once per stretch that can hold a match:
+# line, four patterns take quadratic time.  These forms find the same (and capture the
+# same) but give back no blanks, and start once per stretch that can hold a match:
 # - a scheme from the start of its run of scheme characters,
 # - a bracket pair from its first bracket after the previous "]" or match.
 _RUN = r"[a-zA-Z0-9+.\-\u017F\u212A]"
@@ -75,7 +75,10 @@ _LINEAR = {
     r"://[^/\s:@]+:[^/\s@]{4,}@",
     "wiki_link": rf"{_STRETCH}(?>[^\]]*?\[\[)[^\]]++\]\]",
     "markdown_link": rf"{_STRETCH}(?>[^\[\]]*?(!?)\[)[^\]]*+\]\("
-    + java_pattern(PATTERNS["markdown_link"]).split(r"\]\(", 1)[1],
+    + rf"[{_ASCII_SPACE}]*+<?([^{_ASCII_SPACE})>]++)>?(?:[{_ASCII_SPACE}]++[^)]*+)?\)",
+    "html_tag": java_pattern(PATTERNS["html_tag"]).replace(
+        rf"<[{_ASCII_SPACE}]*/?[{_ASCII_SPACE}]*", rf"<[{_ASCII_SPACE}]*+(?:/[{_ASCII_SPACE}]*+)?"
+    ),
 }
 
 

@@ -139,7 +139,7 @@ def manifest_problem() -> Column:
 
 
 def validate_manifest(manifest: DataFrame) -> DataFrame:
-    """Violations: bad rows, repeated paths and rows out of order.
+    """Violations: bad rows, repeated paths, ordinals other than 1 to n, and rows out of order.
 
     Order is checked against the predecessor found by an equi-join on the ordinal,
     not by a window over the whole table.
@@ -162,7 +162,14 @@ def validate_manifest(manifest: DataFrame) -> DataFrame:
         )
         .select("path", F.lit("unordered").alias("problem"))
     )
-    return rows.unionByName(repeated).unionByName(unordered)
+    # One row of sums: ordinals are 1 to n exactly if none is null or repeated and the ends fit.
+    numbers = manifest.select("ordinal").agg(
+        F.count("*").alias("n"), F.countDistinct("ordinal").alias("different"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")
+    )
+    gapped = numbers.where("n > 0 and not (different = n and coalesce(low, 0) = 1 and coalesce(high, 0) = n)").select(
+        F.lit(None).cast("string").alias("path"), F.lit("ordinals").alias("problem")
+    )
+    return rows.unionByName(repeated).unionByName(unordered).unionByName(gapped)
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, names: tuple[str, str, str], *values: str) -> DataFrame:

@@ -170,11 +170,9 @@ def publish_corpus(
             )
             raise_if_any(drift, "sources changed during the scan")
 
-    pointer = snapshot.activate(spark, content_root, version, final_validation)
-    target = f"{root}/manifests/version={pointer['version']}"
-    if not snapshot.exists(spark, target):
-        sinks.write_manifest(ordered, target)
-    return pointer
+    # Nothing may fail once the pointer moves, so the manifest is checked and stored before.
+    sinks.write_manifest(ordered, f"{root}/manifests/version={version}")
+    return snapshot.activate(spark, content_root, version, final_validation, ordered)
 
 
 def staged_rows(outcomes: DataFrame) -> DataFrame:

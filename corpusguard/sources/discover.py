@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.functions import paths
 from corpusguard.functions.text import digest
+from corpusguard.sources.strict import InvalidTable
+
+# Bytes of files named _*.md that the driver reads; Spark's file sources skip such names.
+HIDDEN_LIMIT = 64 * 1024 * 1024
 
 
 def skip_reason(path: Column) -> Column:
@@ -20,28 +26,69 @@ def classify_paths(files: DataFrame) -> DataFrame:
     return files.select("path", skip_reason(F.col("path")).alias("reason"))
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content, size, modified_at`` of a Markdown tree.
+def _hidden_from_listing(spark: SparkSession, root: str) -> tuple[list[str], list[tuple]]:
+    """Files that Spark's own listing leaves out because a name below the root starts with "_" or ".".
 
-    The name filter is applied to the listing, before content is read.  Spark's
-    listing leaves out names starting with ``.`` or ``_``: such files are only seen
-    in tables that already carry a ``path`` column.
+    Full names of those that Spark reads if told to (only a folder's name is hidden), and rows
+    of the others, which it never reads: the driver takes them, up to HIDDEN_LIMIT bytes.
+    """
+    location = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = len(files.makeQualified(location).toString()) + 1
+    named, rows, size = [], [], 0
+    listing = files.listFiles(location, True)
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath().toString()
+        names = path[start:].split("/")
+        if names[-1][:1] not in ("_", "."):
+            if any(name[:1] in ("_", ".") for name in names):
+                named.append(path)
+            continue
+        content = None
+        if names[-1][:1] == "_" and names[-1].endswith(".md"):
+            size += status.getLen()
+            if size > HIDDEN_LIMIT:
+                raise InvalidTable(f"files named _*.md below {root} hold more than {HIDDEN_LIMIT} bytes: rename them")
+            stream = files.open(status.getPath())
+            content = bytearray(stream.readAllBytes())
+            stream.close()
+        modified = datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)
+        rows.append((path[start:], content, status.getLen(), modified))
+    return named, rows
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content, size, modified_at`` of every file of a tree, hidden and other names included.
+
+    Content is read only if it is selected.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .load(root)
-    )
     location = spark._jvm.org.apache.hadoop.fs.Path(root)
     qualified = location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location)
     below = F.substr("path", F.lit(len(qualified.toString()) + 2))
-    return files.select(
+    columns = (
         below.alias("path"),
         "content",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified_at"),
     )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(*columns)
+    named, rows = _hidden_from_listing(spark, root)
+    if named:
+        files = files.unionByName(spark.read.format("binaryFile").load(named).select(*columns))
+    return files.unionByName(spark.createDataFrame(rows, files.schema)) if rows else files
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content, size, modified_at`` of a tree; the content of files that are skipped is null and not kept.
+
+    ``skipped_paths`` reports the skipped ones with their reasons.
+    """
+    files = list_tree(spark, root)
+    wanted = skip_reason(F.col("path")).isNull()
+    return files.where(wanted).unionByName(
+        files.where(~wanted).select("path", F.lit(None).cast("binary").alias("content"), "size", "modified_at")
+    )
 
 
 def discover_documents(files: DataFrame, content: str = "content") -> DataFrame:

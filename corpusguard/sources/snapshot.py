@@ -7,6 +7,8 @@ pointer, so a failed run leaves the previous snapshot in place.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -83,11 +85,17 @@ def stage(rows: DataFrame, root: str, version: str | None = None) -> str:
 
 
 def activate(
-    spark: SparkSession, root: str, version: str, final_validation: Callable[[DataFrame], None] | None = None
+    spark: SparkSession,
+    root: str,
+    version: str,
+    final_validation: Callable[[DataFrame], None] | None = None,
+    manifest: DataFrame | None = None,
 ) -> dict:
     """Read the staged version back, check it, validate, then advance the pointer.
 
-    An unchanged tree keeps the pointer where it is.
+    The version's identity is its files and, if given, the rows of its manifest.  The same
+    identity keeps the pointer where it is.  The pointer is a new file named by its sequence: of two
+    publishers that read the same state one fails.
     """
     staged = read_version(spark, root, version)
     raise_if_any(invalid_files(staged), "staged snapshot failed its integrity check")
@@ -96,6 +104,10 @@ def activate(
         final_validation(staged)
     visible = current(spark, root)
     tree_sha256 = tree["sha256"] if tree else ""
+    if manifest is not None:
+        described = manifest.withColumn("approved_rules", F.to_json("approved_rules"))
+        rows = table_digest(described, described.columns).first()
+        tree_sha256 = hashlib.sha256(f"{tree_sha256} {rows['sha256'] if rows else ''}".encode()).hexdigest()
     if visible is not None and visible["tree_sha256"] == tree_sha256:
         return visible
     row = {
@@ -103,11 +115,22 @@ def activate(
         "version": version,
         "tree_sha256": tree_sha256,
     }
-    pointer = spark.createDataFrame([tuple(row.values())], _POINTER)
-    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
+    create_once(spark, f"{root}/pointer/sequence-{row['sequence']:012d}.json", json.dumps(row))
     return row
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; fail if another writer was there first."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        stream = files.create(location, False)
+    except Exception as error:
+        raise InvalidTable(f"another publisher was faster: {path}") from error
+    stream.write(bytearray((text + "\n").encode()))
+    stream.close()
+
+
 def publish_snapshot(
     files: DataFrame, root: str, final_validation: Callable[[DataFrame], None] | None = None
 ) -> dict:

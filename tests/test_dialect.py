@@ -98,12 +98,13 @@ def test_links_agree(spark):
         ("markdown_link", "[]]()(!!a <>\t", (1, 2)),
         ("wiki_link", "[[]]a ", ()),
         ("credential_url", "a1-+.:://@@_b kK ", ()),
+        ("html_tag", "<<//  \tx>", ()),
     ],
 )
 def test_linear_forms_find_the_same(spark, name, alphabet, groups):
     """Patterns rewritten for long lines, on short strings dense in their delimiters."""
     draw = random.Random(name)
-    pieces = [*alphabet, "](", "://", "[[", "aa:bbbb@"]
+    pieces = [*alphabet, "](", "://", "[[", "aa:bbbb@", "form", "ba\u017Fe"]
     texts = sorted({"".join(draw.choice(pieces) for _ in range(draw.randint(1, 16))) for _ in range(12000)})
     connection = duckdb.connect()
     connection.register("made", pd.DataFrame({"text": texts}))
@@ -125,5 +126,6 @@ def test_linear_forms_find_the_same(spark, name, alphabet, groups):
 def test_long_lines_take_linear_time(spark):
     """Without the rewritten forms each of these needs minutes."""
     rows = [("a.md", "[" * 60000 + "](a b"), ("b.md", "a-" * 60000 + "://x"), ("c.md", "[[a " * 30000)]
+    rows += [("d.md", "<" + " " * 400_000), ("e.md", "[x](a" + " " * 400_000), ("f.md", "< / " * 60_000)]
     docs = spark.createDataFrame(rows, "path string, text string")
     assert rules.flatten_findings(rules.scan_documents(docs)).count() == 0

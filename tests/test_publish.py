@@ -108,6 +108,32 @@ def test_second_run_changes_nothing(spark, site):
     assert again == before
 
 
+def test_new_ruleset_is_a_new_publication(spark, tmp_path):
+    """Equal files under another ruleset: the manifest on show names the new one."""
+    root = str(tmp_path)
+    first = publish.publish_corpus(corpus(spark), empty(spark), AT, root, VERSION, RULESET)
+    second = publish.publish_corpus(corpus(spark), empty(spark), AT, root, VERSION, "c" * 64)
+    assert second["sequence"] == first["sequence"] + 1
+    assert check(spark, root, ruleset="c" * 64) == []
+
+
+def test_refused_manifest_keeps_the_old_snapshot(spark, tmp_path):
+    """A path the snapshot takes and the manifest doesn't must fail before anything shows."""
+    root = str(tmp_path)
+    first = publish.publish_corpus(corpus(spark), empty(spark), AT, root, VERSION, RULESET)
+    odd = corpus(spark).withColumn("path", F.when(F.col("path") == "a/good.md", "a/go\tod.md").otherwise(F.col("path")))
+    with pytest.raises(strict.InvalidTable):
+        publish.publish_corpus(odd, empty(spark), AT, root, VERSION, RULESET)
+    assert snapshot.current(spark, f"{root}/content") == first
+    assert check(spark, root) == []
+
+
+def test_second_writer_of_a_pointer_fails(spark, tmp_path):
+    snapshot.create_once(spark, f"{tmp_path}/pointer/one.json", "{}")
+    with pytest.raises(strict.InvalidTable):
+        snapshot.create_once(spark, f"{tmp_path}/pointer/one.json", "{}")
+
+
 def test_tampering_is_found(spark, site):
     files = snapshot.read_snapshot(spark, f"{site}/content").select("path", "data")
     edited = files.withColumn(
@@ -194,6 +220,10 @@ def test_manifest_problems(spark):
     assert built.where("kind = 'document'").first()["approved_rules"] == ["a", "b"]
     swapped = built.withColumn("ordinal", 5 - F.col("ordinal"))
     assert {r["problem"] for r in manifest.validate_manifest(swapped).collect()} == {"unordered"}
+    for ordinal in (F.col("ordinal") * 2, F.lit(None).cast("long"), F.col("ordinal") - 1):
+        faulty = manifest.validate_manifest(built.withColumn("ordinal", ordinal))
+        assert {r["problem"] for r in faulty.collect()} == {"ordinals"}
+    assert manifest.validate_manifest(built.limit(0)).isEmpty()
 
 
 def test_statistics(spark):

@@ -9,16 +9,19 @@ from corpusguard.streaming.incremental import write_findings
 
 
 def test_read_tree_and_discovery(spark, tmp_path):
-    for name in ("one.md", "目录/两 词.md", "LOUD.MD", "list.txt", "old.bak.md", "x%20y/z+1.md"):
+    for name in ("one.md", "目录/两 词.md", "LOUD.MD", "list.txt", "old.bak.md", "x%20y/z+1.md", "_index.md", "_drafts/y.md", ".hid/in.md"):
         target = tmp_path / "tree" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(f"# {name}", encoding="utf8")
     tree = discover.read_tree(spark, str(tmp_path / "tree"))
     found = discover.discover_documents(tree).orderBy("path").collect()
-    assert [r["path"] for r in found] == ["one.md", "x%20y/z+1.md", "目录/两 词.md"]
-    assert found[0]["size"] == len("# one.md")
+    assert [r["path"] for r in found] == ["_drafts/y.md", "_index.md", "one.md", "x%20y/z+1.md", "目录/两 词.md"]
+    assert found[2]["size"] == len("# one.md")
     assert {r["path"]: r["reason"] for r in discover.skipped_paths(tree).collect()} == {
-        "old.bak.md": "hidden-or-temporary"
+        ".hid/in.md": "hidden-or-temporary",
+        "LOUD.MD": "not-markdown",
+        "list.txt": "not-markdown",
+        "old.bak.md": "hidden-or-temporary",
     }
 
 
