@@ -79,6 +79,13 @@ def quote_yaml(value: Column) -> Column:
     return F.concat(F.lit('"'), quoted, F.lit('"'))
 
 
+def utc_time(moment: Column) -> Column:
+    """ISO text in UTC to the second, whatever the session's zone."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    at = epoch + F.make_dt_interval(secs=F.unix_seconds(moment))
+    return F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def count_of(value: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     removed = F.length(value) - F.length(F.replace(value, F.lit(needle), F.lit("")))

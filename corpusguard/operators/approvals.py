@@ -220,7 +220,8 @@ def findings_present(entries: DataFrame, findings: DataFrame, side: str = "sourc
 def upsert_approvals(allowlist: DataFrame, additions: DataFrame) -> DataFrame:
     """Add or replace by exact key.  ``additions`` carries a ``batch`` number; the later wins.
 
-    ``max_by`` keeps one row per key on the map side already.
+    Of one batch the entry with the greatest remaining columns wins.  The maximum keeps
+    one row per key on the map side already.
     """
     columns = ALLOWLIST.names
     both = allowlist.select(*columns, F.lit(-1).cast("long").alias("batch")).unionByName(
@@ -229,9 +230,8 @@ def upsert_approvals(allowlist: DataFrame, additions: DataFrame) -> DataFrame:
     rest = [c for c in columns if c not in ENTRY_KEY]
     return (
         both.groupBy(*ENTRY_KEY)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("e"))
-        .select(*ENTRY_KEY, "e.*")
-        .select(*columns)
+        .agg(F.max(F.struct("batch", *rest)).alias("e"))
+        .select(*(c if c in ENTRY_KEY else f"e.{c}" for c in columns))
     )
 
 

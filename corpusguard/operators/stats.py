@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
+from corpusguard.functions.text import utc_time
 from corpusguard.operators.transform import section_directories
 
 
@@ -51,5 +52,5 @@ def recent_documents(published: DataFrame, limit: int = 6) -> DataFrame:
         "path",
         "title",
         F.when(directory == ".", V.ROOT_SECTION_TITLE).otherwise(paths.base(directory)).alias("section"),
-        F.date_format("lastmod", "yyyy-MM-dd").alias("date"),
+        F.left(utc_time(F.col("lastmod")), F.lit(10)).alias("date"),
     )

@@ -16,6 +16,7 @@ from corpusguard.functions.text import (
     raw_lines,
     strip_bom,
     trim_space,
+    utc_time,
 )
 from corpusguard.operators.rules import fence_marker
 
@@ -100,7 +101,7 @@ def transformed(text_name: str, modified_name: str) -> Column:
         modified.isNotNull(),
         F.concat(
             F.lit("lastmod: "),
-            quote_yaml(F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ssXXX")),
+            quote_yaml(utc_time(modified)),
             F.lit("\n"),
         ),
     ).otherwise(F.lit(""))

@@ -143,6 +143,15 @@ def test_upsert_replaces_by_key_and_later_batch_wins(spark, approved):
     assert [r["reason"] for r in merged.collect()] == ["review 2"]
 
 
+def test_upsert_of_equal_batches_takes_the_greatest_entry(spark, approved):
+    again = approved.withColumn("batch", F.lit(1)).withColumn(
+        "reason", F.explode(F.array(F.lit("review b"), F.lit("review c"), F.lit("review a")))
+    )
+    for order in (again, again.orderBy("reason"), again.orderBy(F.desc("reason"))):
+        merged = approvals.upsert_approvals(approved, order).collect()
+        assert [r["reason"] for r in merged] == ["review c"]
+
+
 def test_report_and_inventory(spark, approved, tmp_path):
     docs = documents(spark, BODY + "![i](https://example.com/a.png)\n")
     run = scan.scan_corpus(docs, empty(spark), AT)

@@ -1,8 +1,9 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusguard.functions.text import utc_time
 from corpusguard.operators import transform
 
 TIME = datetime(2026, 7, 18, 9, 30)
@@ -65,3 +66,17 @@ def test_section_index_and_directories(spark):
     assert built["a/b/_index.md"] == '---\ntitle: "b"\n---\n\n'
     outside = spark.createDataFrame([("../x",), ("/abs",), ("..",)], "d string")
     assert outside.where(transform.section_index(F.col("d")).isNotNull()).isEmpty()
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    moments = [-1, 0, 1711846799, 1711846800, 1729994400, 1784367000]
+    expected = [datetime.fromtimestamp(s, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") for s in moments]
+    try:
+        for other in ("UTC", "Europe/Berlin", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            rows = spark.createDataFrame([(s,) for s in moments], "s long")
+            seen = rows.select(utc_time(F.timestamp_seconds("s")).alias("t"), utc_time(F.lit(None).cast("timestamp")).alias("n"))
+            assert [tuple(r) for r in seen.collect()] == [(t, None) for t in expected]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
