@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,49 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder, closely packed, and read back; lineage ends there."""
     target = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    stored = df.sparkSession.read.schema(df.schema).parquet(target)
+    stored._folder = target
+    return stored
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove tables that `store` wrote, once all that was read from them is itself stored."""
+    for df in stored:
+        remove_folder(df.sparkSession, df._folder)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of complete groups of rows sorted by `by`, with the first row of each group and the end.
+
+    Only the group that a batch leaves open is held, so the memory is that of the largest group.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        cuts = _group_starts(rows, by)
+        if len(cuts) == 1:
+            held.append(batch)
+            continue
+        yield rows.slice(0, cuts[-1]), cuts
+        held = rows.slice(cuts[-1]).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, [*_group_starts(rows, by), rows.num_rows]
+
+
+def _group_starts(rows: pa.Table, by: list[str]) -> list[int]:
+    changed = np.zeros(max(0, rows.num_rows - 1), dtype=bool)
+    for name in by:
+        column = rows.column(name).combine_chunks()
+        changed |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return [0, *(np.flatnonzero(changed) + 1).tolist()]
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import store
+from corpusguard.llm.common import discard, store
+
 
 def _sum(edges: DataFrame) -> tuple:
     # A sum over 32 bits of a hash can't overflow a long.
@@ -29,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("node").agg(F.least(F.min("label"), F.col("node")).alias("least"))
         large = both.join(least, "node").where("label > node").select(F.col("label").alias("node"), F.col("least").alias("label"))
         large = store(large.distinct(), "stars")
+        older = stars
         floor = large.groupBy("node").agg(F.min("label").alias("least"))
         small = large.join(floor, "node")
         stars = store(
@@ -39,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "stars",
         )
+        discard(older, large)
         now = _sum(stars)
         if now == before:
             break
