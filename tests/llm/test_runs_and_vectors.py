@@ -113,7 +113,7 @@ def test_query_of_runs(spark, tmp_path):
     assert found.columns[:6] == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli"]
     expected = sorted(map(repr, ((i, *described(with_tail(i, t))) for i, t, _ in rows)))
     assert sorted(repr(tuple(row)) for row in found.collect()) == expected
-    assert sum(row["n_runs"] for row in found.collect()) > 50
+    assert sum(row["n_runs"] for row in found.collect()) > 30
 
 
 def test_general_form_of_runs(spark):
