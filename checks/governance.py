@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from checks.base import check
 from checks.scanning import EXTERNAL, source_findings
 from corpusguard import fixed_values as V
 from corpusguard.functions import text as text_fns
-from corpusguard.operators import approvals, findings, reports, rules, transform
+from corpusguard.operators import approvals, findings, receipts, reports, rules, transform
 from corpusguard.plans import approve, publish, scan
 from corpusguard.schemas import ALLOWLIST
 from corpusguard.session import materialize, new_folder
-from corpusguard.sources import sinks, strict
+from corpusguard.sources import commit, sinks, strict
 
 AT = seeds.AT
 
@@ -537,6 +538,83 @@ def select_publishable(spark, sf_dir):
 def scan_with_external(spark, sf_dir):
     """Counts per section with an outside scanner's findings merged in."""
     outcome = scan.scan_corpus(
-        seeds.documents(spark, sf_dir), seeds.allowlist(spark, sf_dir), AT, seeds.external(spark, sf_dir)
+        seeds.documents(spark, sf_dir), seeds.allowlist(spark, sf_dir), AT, seeds.receipts(spark, sf_dir)
     )
     return reports.scan_counts(outcome.results.withColumn("section", section()), "section")
+
+
+_GAPS = (
+    "SELECT path, CASE doc_id % 29 WHEN 0 THEN 'unscanned' WHEN 1 THEN 'stale' WHEN 4 THEN 'repeated' ELSE 'incomplete' END AS problem "
+    "FROM docs WHERE doc_id % 29 IN (0, 1, 2, 3, 4) UNION ALL SELECT 'gone/' || path, 'unknown' FROM docs WHERE doc_id % 29 = 5"
+)
+
+
+@check("external_incomplete", S.with_(S.DOCS, _GAPS))
+def external_incomplete(spark, sf_dir):
+    """Gaps of an outside scan: they are in the outcome of the scan, and no report can be written from it."""
+    root = new_folder(spark, "refused")
+    run = scan.scan_corpus(
+        seeds.documents(spark, sf_dir), seeds.allowlist(spark, sf_dir), AT, seeds.faulty_receipts(spark, sf_dir)
+    )
+    run = replace(run, results=materialize(run.results, "results"))
+    try:
+        scan.store_reports(run, root)
+    except strict.InvalidTable:
+        if commit.current(spark, root) is not None:
+            raise AssertionError("a refused report is on show") from None
+        return run.gaps
+    raise AssertionError("reports were written over an incomplete scan")
+
+
+@check("receipt_gaps", S.with_(S.DOCS, _GAPS))
+def receipt_gaps(spark, sf_dir):
+    docs = seeds.documents(spark, sf_dir).select("path", text_fns.digest(F.col("text")).alias("sha256"))
+    return receipts.receipt_gaps(docs, seeds.faulty_receipts(spark, sf_dir))
+
+
+@check(
+    "reports_commit",
+    S.with_(
+        _REPORT,
+        "SELECT 'exclusions' AS stored, count(*) AS n FROM report_documents UNION ALL SELECT 'documents', count(*) FROM docs "
+        "UNION ALL SELECT 'candidates', count(*) FROM docs UNION ALL SELECT 'excluded', count(*) FROM report_documents",
+    ),
+)
+def reports_commit(spark, sf_dir):
+    """Two scans committed and one writer that fails: the set of the second is on show, all of it."""
+    root = new_folder(spark, "reports")
+    results = materialize(marked_results(spark, sf_dir).withColumns({"scan_problem": F.lit(None).cast("string"), "completed": F.lit(True)}), "results")
+    few = scan.Scan(results.where("path < 's2'"), AT)
+    scan.store_reports(few, root)
+    second = scan.store_reports(scan.Scan(results, AT), root)
+    broken = reports.exclusion_report(results, AT).withColumn("status", F.lit("closed"))
+    try:
+        sinks.commit_reports(broken, reports.inventory_documents(results), AT, root)
+    except strict.InvalidTable:
+        pass
+    if commit.current(spark, root) != second:
+        raise AssertionError("a failed writer moved the reports")
+    stored = sinks.read_reports(spark, root)
+    tally = lambda name, frame: frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stored"), "n")
+    header = stored.header.selectExpr("stack(2, 'candidates', candidate_count, 'excluded', excluded_count) as (stored, n)")
+    return tally("exclusions", stored.exclusions).unionByName(tally("documents", stored.documents)).unionByName(header)
+
+
+@check(
+    "record_approvals",
+    S.with_(
+        _REQUESTS,
+        f"SELECT DISTINCT path, source_sha256, fingerprint AS source_finding_fingerprint, output_sha256, "
+        "output_fingerprint AS output_finding_fingerprint, rule_id AS rule FROM checked WHERE problem IS NULL",
+    ),
+)
+def record_approvals(spark, sf_dir):
+    """Accepted requests saved in two reviews, the later one from the allowlist that the first one saved."""
+    root = new_folder(spark, "allowlists")
+    docs = seeds.documents(spark, sf_dir)
+    checked = materialize(approve.paired_requests(docs, review_requests(spark, sf_dir), "text", "modified_at"), "requests")
+    accepted = checked.where("problem is null").select(*review_requests(spark, sf_dir).columns)
+    now = docs.select("path", text_fns.digest(F.col("text")).alias("sha256"))
+    for part in ("path < 's3'", "path >= 's3'"):
+        approve.record_approvals(docs, accepted.where(part), root, unchanged=now)
+    return sinks.read_allowlist(spark, root).selectExpr(*_ENTRY_KEY.split(", "))

@@ -12,7 +12,7 @@ from corpusguard.functions.text import digest
 from corpusguard.operators import manifest, rules, stats
 from corpusguard.plans import publish, verify
 from corpusguard.session import new_folder
-from corpusguard.sources import discover, sinks, snapshot, strict
+from corpusguard.sources import commit, discover, sinks, snapshot, strict
 
 AT = seeds.AT
 RULESET = "a" * 64
@@ -102,6 +102,45 @@ def publish_snapshot(spark, sf_dir):
     return manifest.hash_tree(snapshot.read_snapshot(spark, root))
 
 
+def rule_table(spark):
+    return spark.createDataFrame(
+        [(f"rules/{name}", pattern) for name, pattern in V.PATTERNS.items()], "path string, content string"
+    )
+
+
+def published_site(spark, sf_dir):
+    """Root of a whole publication, made once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SITES:
+        root = new_folder(spark, "corpus")
+        docs, listed = seeds.documents(spark, sf_dir), seeds.allowlist(spark, sf_dir)
+        publish.publish_corpus(docs, listed, AT, root, seeds.SCANNER_VERSION, RULESET)
+        _SITES[key] = root
+    return f"{_SITES[key]}/content"
+
+
+_SITES: dict[tuple, str] = {}
+
+
+@check("publish_after_crash", S.with_(S.MANIFEST, "SELECT path, sha256(data) AS sha256 FROM files"))
+def publish_after_crash(spark, sf_dir):
+    """A publisher died with its pointer file empty; the next one goes past it, and of two one fails."""
+    root = new_folder(spark, "crashed")
+    files = built(spark, sf_dir).files
+    snapshot.publish_snapshot(files.where("path < 's3'"), root)
+    location = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer/sequence-{2:012d}.json")
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).create(location, False).close()
+    if snapshot.current(spark, root)["sequence"] != 1:
+        raise AssertionError("an empty pointer file hides the snapshot")
+    last, _ = commit.state(spark, root)
+    snapshot.publish_snapshot(files, root)
+    try:
+        commit.advance(spark, root, last, {"version": "late"})
+    except strict.InvalidTable:
+        return manifest.hash_tree(snapshot.read_snapshot(spark, root))
+    raise AssertionError("two publishers of one state both succeeded")
+
+
 @check("publish_corpus", S.with_(S.MANIFEST, "SELECT kind, ordinal, path, sha256 FROM manifest"))
 def publish_corpus(spark, sf_dir):
     """The whole job: reports, snapshot, manifest; reads the visible manifest back."""
@@ -113,7 +152,7 @@ def publish_corpus(spark, sf_dir):
         AT,
         root,
         seeds.SCANNER_VERSION,
-        RULESET,
+        lambda: rule_table(spark),
         unchanged=discover.discover_documents(docs, "text").select("path", "sha256"),
     )
     stored = strict.load_manifest(spark, publish.published_manifest_path(spark, root))
@@ -256,6 +295,42 @@ def verify_untouched(spark, sf_dir):
     return violations.select("path", "problem")
 
 
+def published_receipts(spark, sf_dir):
+    """Receipts of the published files: some report a finding, some are missing, of other bytes or unfinished."""
+    first = F.substring("sha256", 1, 2)
+    finding = F.array(F.struct(F.lit("late key").alias("rule_id"), F.lit(2).cast("long").alias("line")))
+    return built(spark, sf_dir).files.where(first != "00").select(
+        "path",
+        F.when(first == "11", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"),
+        (first != "22").alias("completed"),
+        F.when(F.startswith(first, F.lit("3")), finding).otherwise(F.slice(finding, 1, 0)).alias("findings"),
+    )
+
+
+@check(
+    "verify_with_external",
+    S.with_(
+        S.MANIFEST,
+        "SELECT 'external' AS \"check\", path, CASE substr(sha256, 1, 2) WHEN '00' THEN 'unscanned' WHEN '11' THEN 'stale' ELSE 'incomplete' END AS problem "
+        "FROM (SELECT path, sha256(data) AS sha256 FROM files) WHERE substr(sha256, 1, 2) IN ('00', '11', '22') UNION ALL "
+        "SELECT 'document', path, CASE WHEN path = '_index.md' OR path LIKE '%/_index.md' THEN 'index_blocked' ELSE 'document_blocked' END "
+        "FROM (SELECT path, sha256(data) AS sha256 FROM files) WHERE substr(sha256, 1, 1) = '3'",
+    ),
+)
+def verify_with_external(spark, sf_dir):
+    """The published tree as it is, against an outside scan with findings and gaps."""
+    violations = verify.verify_corpus(
+        built(spark, sf_dir).files.select("path", "data"),
+        stored_manifest(spark, sf_dir),
+        seeds.allowlist(spark, sf_dir),
+        AT,
+        seeds.SCANNER_VERSION,
+        RULESET,
+        external=published_receipts(spark, sf_dir),
+    )
+    return violations.select("check", "path", "problem")
+
+
 def bent_manifest(spark, sf_dir):
     """A manifest of all documents in order, with planted faults by document number."""
     docs = seeds.documents(spark, sf_dir)
@@ -334,39 +409,45 @@ def ruleset_fingerprint(spark, sf_dir):
     grown = manifest.table_digest(docs, ["path", "sha256"]).select(
         F.lit("config/documents").alias("path"), F.col("sha256").alias("content")
     )
-    rules_frame = spark.createDataFrame(
-        [(f"rules/{name}", pattern) for name, pattern in V.PATTERNS.items()], "path string, content string"
-    )
-    return manifest.ruleset_fingerprint(rules_frame.unionByName(grown))
+    return manifest.ruleset_fingerprint(rule_table(spark).unionByName(grown))
 
 
 # --- statistics -------------------------------------------------------------------------------------
 
 
+_PUBLISHED = S.OUTCOMES + [("shown", "SELECT path, title, lastmod FROM outcomes WHERE outcome = 'published'")]
+
+
 def published(spark, sf_dir):
-    """Every document with its published title; in a site all of them are on show."""
-    docs = seeds.documents(spark, sf_dir)
-    return docs.select("path", F.concat(F.lit("Title "), "doc_id").alias("title"), F.col("modified_at").alias("lastmod"))
+    """Title and time of the documents on show, as the publication staged them."""
+    return snapshot.read_published(spark, published_site(spark, sf_dir))
+
+
+@check(
+    "read_published",
+    S.with_(_PUBLISHED, "SELECT path, title, lastmod::VARCHAR AS lastmod FROM shown"),
+)
+def read_published(spark, sf_dir):
+    return published(spark, sf_dir).withColumn("lastmod", F.col("lastmod").cast("string"))
 
 
 @check(
     "corpus_stats",
     S.with_(
-        S.DOCS + S.DIRECTORIES,
-        "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM directories WHERE directory <> '.') AS sections",
+        _PUBLISHED + S.DIRECTORIES,
+        "SELECT (SELECT count(*) FROM shown) AS documents, (SELECT count(*) FROM directories WHERE directory <> '.') AS sections",
     ),
 )
 def corpus_stats(spark, sf_dir):
-    docs = published(spark, sf_dir)
-    return stats.corpus_stats(docs, docs)
+    return stats.corpus_stats(published(spark, sf_dir), snapshot.read_candidates(spark, published_site(spark, sf_dir)))
 
 
 @check(
     "category_wall",
     S.with_(
-        S.DOCS,
+        _PUBLISHED,
         "SELECT section, count(*) AS documents, max(latest) AS latest_title FROM (SELECT split_part(path, '/', 1) AS section, "
-        "first_value('Title ' || doc_id) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY modified_at DESC, path) AS latest FROM docs) "
+        "first_value(title) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY lastmod DESC, path) AS latest FROM shown) "
         "GROUP BY section ORDER BY documents DESC, section",
     ),
 )
@@ -377,9 +458,9 @@ def category_wall(spark, sf_dir):
 @check(
     "recent_documents",
     S.with_(
-        S.DOCS,
-        f"SELECT path, 'Title ' || doc_id AS title, {S.base(S.directory('path'))} AS section, strftime(modified_at, '%Y-%m-%d') AS date FROM docs "
-        "ORDER BY modified_at DESC, path LIMIT 6",
+        _PUBLISHED,
+        f"SELECT path, title, {S.base(S.directory('path'))} AS section, left(lastmod::VARCHAR, 10) AS date FROM shown "
+        "ORDER BY lastmod DESC, path LIMIT 6",
     ),
 )
 def recent_documents(spark, sf_dir):

@@ -141,6 +141,29 @@ def external(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("path", "rule_id", F.col("line").cast("long").alias("line"))
 
 
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One completed receipt per document, with the reports above."""
+    found = external(spark, sf_dir).groupBy("path").agg(F.collect_list(F.struct("rule_id", "line")).alias("findings"))
+    scanned = documents(spark, sf_dir).select("path", digest(F.col("text")).alias("sha256"), F.lit(True).alias("completed"))
+    none = F.array().cast("array<struct<rule_id:string,line:bigint>>")
+    return scanned.join(found, "path", "left").withColumn("findings", F.coalesce("findings", none))
+
+
+def faulty_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with faults by document number: none, of other bytes, unfinished, twice, of no document."""
+    n = F.regexp_extract("path", r"d([0-9]+)(?:/_index)?\.md$", 1).cast("long") % 29
+    given = receipts(spark, sf_dir).withColumn("n", n).where("n <> 0")
+    bent = given.withColumns(
+        {
+            "sha256": F.when(F.col("n") == 1, F.reverse("sha256")).otherwise(F.col("sha256")),
+            "completed": F.when(F.col("n") == 2, F.lit(None)).when(F.col("n") == 3, F.lit(False)).otherwise(F.col("completed")),
+        }
+    )
+    twice = bent.where("n = 4")
+    elsewhere = bent.where("n = 5").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    return bent.unionByName(twice).unionByName(elsewhere).drop("n")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, site, file, html`` of the seeded site."""
     n = F.col("page_id")

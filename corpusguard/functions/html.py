@@ -27,7 +27,8 @@ def unescape_all(values: Column, needed: Column) -> Column:
 
 
 def strip_tags(fragment: Column) -> Column:
-    return F.regexp_replace(fragment, F.lit(java_pattern(PAGE_PATTERNS["tag"])), F.lit(""))
+    """Without tags; what follows the last "<" that no ">" closes is kept in one step, not tried from every "<"."""
+    return F.regexp_replace(fragment, F.lit(r"<[^>]++>|(<[^>]++\z)"), F.lit("$1"))
 
 
 def collapse_space(text: Column) -> Column:

@@ -63,23 +63,34 @@ def java_pattern(re2: str) -> str:
     return p.replace("[:space:]", r"\s").replace("$", r"\z")
 
 
-# Java backtracks where RE2 does not: tried from every bracket or word of a very long
-# line, four patterns take quadratic time.  These forms find the same (and capture the
-# same) but give back no blanks, and start once per stretch that can hold a match:
+# Java backtracks where RE2 does not: tried from every bracket, tag or word of a very long
+# text, these patterns take quadratic time.  The forms below find the same but give back no
+# blanks, and start once per stretch that can hold a match:
 # - a scheme from the start of its run of scheme characters,
 # - a bracket pair from its first bracket after the previous "]" or match.
+# Where an attempt has read far ahead in vain, two of them end as a match of nothing that
+# passes over what can't start a match any more (see _SKIPPING):
+# - all the rest, if the closing ")" or "</h1>" or ">" is not in the text any more,
+# - a link target up to its last "]", if what ends the target rules out every link into it.
 _RUN = r"[a-zA-Z0-9+.\-\u017F\u212A]"
 _STRETCH = r"(?:\G|(?<=\]))"
+_TARGET = rf"[^{_ASCII_SPACE})>]"
 _LINEAR = {
     "credential_url": rf"(?<!{_RUN})(?={_RUN}*+://)(?>{_RUN}*?{_BOUNDARY}[a-zA-Z\u017F\u212A]){_RUN}*+"
     r"://[^/\s:@]+:[^/\s@]{4,}@",
     "wiki_link": rf"{_STRETCH}(?>[^\]]*?\[\[)[^\]]++\]\]",
-    "markdown_link": rf"{_STRETCH}(?>[^\[\]]*?(!?)\[)[^\]]*+\]\("
-    + rf"[{_ASCII_SPACE}]*+<?([^{_ASCII_SPACE})>]++)>?(?:[{_ASCII_SPACE}]++[^)]*+)?\)",
+    "markdown_link": rf"{_STRETCH}(?>[^\[\]]*?(!?)\[)[^\]]*+\]\([{_ASCII_SPACE}]*+(?:"
+    + rf"(?:<(?={_TARGET}))?+({_TARGET}++)>?(?:[{_ASCII_SPACE}]++[^)]*+)?\)"
+    + rf"|{_TARGET}++>?+[{_ASCII_SPACE}]++[^)]*+\z"
+    + rf"|(?:{_TARGET}*\])?+)",
     "html_tag": java_pattern(PATTERNS["html_tag"]).replace(
         rf"<[{_ASCII_SPACE}]*/?[{_ASCII_SPACE}]*", rf"<[{_ASCII_SPACE}]*+(?:/[{_ASCII_SPACE}]*+)?"
     ),
+    # The first group ends with the closing tag, so that it is not empty.
+    "heading": java_pattern(r"(?is)<h1\b") + r"[^>]*+(?:>(?:(.*?" + java_pattern("(?i)</h1>") + r")|.*+)|\z)",
 }
+# Matches in which this group is empty are none.
+_SKIPPING = {"markdown_link": 2, "heading": 1}
 
 
 def line_pattern(name: str) -> str:
@@ -88,6 +99,8 @@ def line_pattern(name: str) -> str:
 
 def matches(value: Column, name: str) -> Column:
     """True if the named line pattern is found in ``value``."""
+    if name in _SKIPPING:
+        return F.exists(extract_all(value, name, _SKIPPING[name]), lambda x: x != "")
     return F.rlike(value, F.lit(line_pattern(name)))
 
 
@@ -96,5 +109,6 @@ def matches_re2(value: Column, re2: str) -> Column:
 
 
 def extract_all(value: Column, name: str, group: int) -> Column:
-    pattern = line_pattern(name) if name in PATTERNS else java_pattern(PAGE_PATTERNS[name])
+    """A group of every match; of a pattern that skips, matches of nothing are still among them."""
+    pattern = line_pattern(name) if name in PATTERNS or name in _LINEAR else java_pattern(PAGE_PATTERNS[name])
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(group))

@@ -16,7 +16,7 @@ from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
 from corpusguard.functions.regex import matches_re2
-from corpusguard.functions.text import trim_space
+from corpusguard.functions.text import let, trim_space
 from corpusguard.operators.findings import is_approvable
 from corpusguard.schemas import ALLOWLIST, ENTRY_KEY, ENTRY_ORDER
 from corpusguard.session import broadcast_if_measured_small, broadcast_if_small
@@ -134,12 +134,58 @@ def unapproved_blocking(
     return apply_approvals(blocking, allowlist, at, side).where(~F.col("approved")).select(findings.columns)
 
 
-def approved_by_document(allowlist: DataFrame, at: datetime | Column, side: str) -> DataFrame:
-    """One row per document version with the identities approved in it."""
-    return (
-        active_approvals(allowlist, at, side)
-        .groupBy("path", "sha256")
-        .agg(F.collect_set(F.struct("fingerprint", "line", "rule_id", "level")).alias("_approved"))
+def _identity(sha256: Column, fingerprint: Column, line: Column, rule_id: Column, level: Column) -> Column:
+    return F.concat_ws("\0", sha256, fingerprint, F.coalesce(line.cast("string"), F.lit("")), rule_id, level)
+
+
+def approved_identities(allowlist: DataFrame, at: datetime | Column, side: str) -> DataFrame:
+    """``path, identity`` of the findings approved at the given instant."""
+    identity = _identity(*(F.col(c) for c in ("sha256", "fingerprint", "line", "rule_id", "level")))
+    return active_approvals(allowlist, at, side).select("path", identity.alias("identity"))
+
+
+def marked(findings: Column, sha256: Column, approved: Column) -> Column:
+    """The findings of the row's ``path`` with ``fingerprint`` and ``approved``.
+
+    ``approved`` holds the identities approved for the path (null: none).  Both lists are
+    sorted together, and a finding is approved if an approval comes right before it:
+    n log n however many there are of both.  Findings of a document differ in line or rule.
+    """
+    path = F.col("path")
+    fields = ("line", "rule_id", "level", "reason", "approvable")
+
+    def fingerprinted(f: Column) -> Column:
+        return F.struct(*(f[c].alias(c) for c in fields), finding_fingerprint(path, f).alias("fingerprint"))
+
+    def decided(f: Column, hit: Column) -> Column:
+        approves = hit & is_approvable(f) & (f["line"] > 0) & paths.valid_document_path(path)
+        return F.struct(*(f[c].alias(c) for c in (*fields, "fingerprint")), approves.alias("approved"))
+
+    def entry(identity: Column, finding: bool, at: Column) -> Column:
+        return F.struct(identity.alias("identity"), F.lit(finding).alias("finding"), at.alias("at"))
+
+    def looked_up(own: Column) -> Column:
+        asked = F.transform(
+            own,
+            lambda f, i: entry(_identity(sha256, f["fingerprint"], f["line"], f["rule_id"], f["level"]), True, i),
+        )
+        given = F.transform(approved, lambda identity: entry(identity, False, F.lit(-1)))
+        first = F.array(entry(F.lit(""), True, F.lit(-1)))
+        hits = lambda rows: F.zip_with(
+            rows,
+            F.concat(first, rows),
+            lambda row, before: F.struct(
+                row["at"].alias("at"), (~before["finding"] & (before["identity"] == row["identity"])).alias("hit")
+            ),
+        )
+        in_order = F.sort_array(F.filter(let(F.sort_array(F.concat(given, asked)), hits), lambda h: h["at"] >= 0))
+        return F.zip_with(own, in_order, lambda f, h: decided(f, h["hit"]))
+
+    return let(
+        F.transform(findings, fingerprinted),
+        lambda own: F.when(F.size(approved) > 0, looked_up(own)).otherwise(
+            F.transform(own, lambda f: decided(f, F.lit(False)))
+        ),
     )
 
 
@@ -156,37 +202,9 @@ def mark_approved(
     One join per document instead of one per finding; with active approvals small
     enough to broadcast, their size checked, the documents are not shuffled at all.
     """
-    by_document = broadcast_if_measured_small(
-        approved_by_document(allowlist, at, side).withColumnRenamed("sha256", sha256), "approved"
-    )
-
-    def mark(f: Column) -> Column:
-        def decide(fingerprint: Column) -> Column:
-            identity = F.struct(
-                fingerprint.alias("fingerprint"), f["line"], f["rule_id"], f["level"]
-            )
-            approved = (
-                is_approvable(f)
-                & (f["line"] > 0)
-                & paths.valid_document_path(F.col("path"))
-                & F.coalesce(F.array_contains(F.col("_approved"), identity), F.lit(False))
-            )
-            return F.struct(
-                f["line"].alias("line"),
-                f["rule_id"].alias("rule_id"),
-                f["level"].alias("level"),
-                f["reason"].alias("reason"),
-                f["approvable"].alias("approvable"),
-                fingerprint.alias("fingerprint"),
-                approved.alias("approved"),
-            )
-
-        return F.get(
-            F.transform(F.array(finding_fingerprint(F.col("path"), f)), decide), F.lit(0)
-        )
-
-    joined = results.join(by_document, ["path", sha256], "left")
-    return joined.withColumn(findings, F.transform(F.col(findings), mark)).drop("_approved")
+    by_path = approved_identities(allowlist, at, side).groupBy("path").agg(F.collect_set("identity").alias("_approved"))
+    joined = results.join(broadcast_if_measured_small(by_path, "approved"), "path", "left")
+    return joined.withColumn(findings, marked(F.col(findings), F.col(sha256), F.col("_approved"))).drop("_approved")
 
 
 def has_unapproved(findings: str = "findings") -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
-from corpusguard.functions.text import trim_space
-from corpusguard.schemas import FINDINGS
-from corpusguard.session import broadcast_if_measured_small
+from corpusguard.functions.text import let, trim_space
 
 
 def sanitize_rule_id(value: Column) -> Column:
@@ -18,18 +18,22 @@ def sanitize_rule_id(value: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(cleaned, F.lit("-")), F.lit("")), F.lit("unknown"))
 
 
-def external_findings(external: DataFrame) -> DataFrame:
-    """``path, rule_id, line`` of an independent scanner as finding rows."""
-    return external.select(
-        "path",
-        F.greatest(F.col("line"), F.lit(0)).cast("long").alias("line"),
-        F.concat(F.lit(V.EXTERNAL_PREFIX), sanitize_rule_id(F.col("rule_id"))).alias("rule_id"),
+def external_finding(rule_id: Column, line: Column) -> Column:
+    """A report of an independent scanner as a finding."""
+    return F.struct(
+        F.greatest(line, F.lit(0)).cast("long").alias("line"),
+        F.concat(F.lit(V.EXTERNAL_PREFIX), sanitize_rule_id(rule_id)).alias("rule_id"),
         F.lit(V.BLOCK).alias("level"),
         F.lit(V.REASON_EXTERNAL).alias("reason"),
         F.lit(False).alias("approvable"),
     )
 
 
+def external_findings(external: DataFrame) -> DataFrame:
+    """``path, rule_id, line`` of an independent scanner as finding rows."""
+    return external.select("path", external_finding(F.col("rule_id"), F.col("line")).alias("f")).select("path", "f.*")
+
+
 def normalize_findings(emitted: DataFrame) -> DataFrame:
     """Keep the first emitted finding (lowest ``seq``) per path, line and rule.
 
@@ -53,24 +57,6 @@ def union_findings(own: DataFrame, external: DataFrame) -> DataFrame:
     )
 
 
-def attach_external(results: DataFrame, external: DataFrame) -> DataFrame:
-    """Merge external findings into the ``findings`` arrays of scan results.
-
-    External identifiers carry their own prefix and cannot collide with own rules,
-    so each side is de-duplicated alone.  The group is one document's findings.  The
-    results may still carry text, so the external side is measured before the join.
-    """
-    extra = (
-        external_findings(external)
-        .distinct()
-        .groupBy("path")
-        .agg(F.collect_list(F.struct("line", "rule_id", "level", "reason", "approvable")).alias("_extra"))
-    )
-    merged = F.sort_array(F.concat("findings", F.coalesce("_extra", F.array().cast(FINDINGS))))
-    measured = broadcast_if_measured_small(extra, "external")
-    return results.join(measured, "path", "left").withColumn("findings", merged).drop("_extra")
-
-
 def blocking_findings(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("level") == V.BLOCK)
 
@@ -142,3 +128,39 @@ def pair_findings(source: DataFrame, output: DataFrame) -> DataFrame:
     """
     keys = ["path", "rule_id", "level", "reason", "approvable", "rank", "of"]
     return nth_of_kind(source, "source").join(nth_of_kind(output, "output"), keys)
+
+
+_KIND = ("rule_id", "level", "reason", "approvable")
+
+
+def aligned_pairs(path: Column, source: Column, output: Column) -> Column:
+    """The same within one row: pairs of the n-th findings of a kind of two arrays.
+
+    Kinds are as few as the rules have reasons, so a document of any number of findings
+    takes a few passes over its own arrays.
+    """
+
+    def of_kind(findings: Column, kind: Column) -> Column:
+        same = lambda f: reduce(lambda a, b: a & b, (f[c].eqNullSafe(kind[c]) for c in _KIND))
+        return F.filter(findings, same)
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(
+            *(a[c].alias(c) for c in _KIND),
+            a["line"].alias("source_line"),
+            finding_fingerprint(path, a).alias("source_fingerprint"),
+            b["line"].alias("output_line"),
+            finding_fingerprint(path, b).alias("output_fingerprint"),
+        )
+
+    def aligned(sides: Column) -> Column:
+        return F.when(F.size(sides["a"]) == F.size(sides["b"]), F.zip_with(sides["a"], sides["b"], pair))
+
+    def all_kinds(sides: Column) -> Column:
+        kinds = F.array_distinct(F.transform(sides["a"], lambda f: F.struct(*(f[c].alias(c) for c in _KIND))))
+        per_kind = F.transform(
+            kinds, lambda k: let(F.struct(of_kind(sides["a"], k).alias("a"), of_kind(sides["b"], k).alias("b")), aligned)
+        )
+        return F.flatten(F.filter(per_kind, lambda pairs: pairs.isNotNull()))
+
+    return let(F.struct(F.sort_array(source).alias("a"), F.sort_array(output).alias("b")), all_kinds)

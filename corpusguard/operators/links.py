@@ -204,9 +204,10 @@ def page_headings(pages: DataFrame) -> DataFrame:
     found = compute_once(
         pages.where(in_docs & contains_any(F.lower("html"), "<h1")),
         "h",
-        F.slice(extract_all(F.col("html"), "heading", 1), 1, 2),
+        F.slice(F.filter(extract_all(F.col("html"), "heading", 1), lambda h: h != ""), 1, 2),
     ).select("site", "file", "h")
-    plain = F.transform("h", strip_tags)
+    closing = len("</h1>")
+    plain = F.transform("h", lambda h: strip_tags(F.left(h, F.length(h) - closing)))
     needed = F.exists("h", lambda v: F.contains(v, F.lit("&")))
     texts = found.select("site", "file", unescape_all(plain, needed).alias("h"))
     return texts.select("site", "file", F.transform("h", collapse_space).alias("headings"))

@@ -154,11 +154,11 @@ def unclosed_fence_line(document_lines: Column) -> Column:
 
 def markdown_links(line: Column) -> Column:
     """``array<struct<is_image, target>>`` of inline links, left to right."""
+    found = F.arrays_zip(
+        extract_all(line, "markdown_link", 1).alias("mark"), extract_all(line, "markdown_link", 2).alias("target")
+    )
     return F.transform(
-        F.arrays_zip(
-            extract_all(line, "markdown_link", 1).alias("mark"),
-            extract_all(line, "markdown_link", 2).alias("target"),
-        ),
+        F.filter(found, lambda m: m["target"] != ""),
         lambda m: F.struct((m["mark"] == "!").alias("is_image"), trim_space(m["target"]).alias("target")),
     )
 

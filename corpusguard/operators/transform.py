@@ -89,8 +89,8 @@ def _publishable(path: Column, text: Column) -> Column:
 
 
 @built_once
-def transformed(text_name: str, modified_name: str) -> Column:
-    """Published text of the row, or null where the document is refused.
+def published_form(text_name: str, modified_name: str) -> Column:
+    """``title``, ``output`` (the published text) of the row, or null where the document is refused.
 
     The first heading becomes the title and leaves the body with one blank line
     after it; without a heading the file name is the title.
@@ -124,18 +124,16 @@ def transformed(text_name: str, modified_name: str) -> Column:
 
     def emit(d: Column) -> Column:
         unfinished = (d["body"] != "") & ~F.endswith(d["body"], F.lit("\n"))
-        return F.when(
-            d["title"] != "",
-            F.concat(
-                F.lit("---\ntitle: "),
-                quote_yaml(d["title"]),
-                F.lit("\n"),
-                lastmod,
-                F.lit("---\n\n"),
-                d["body"],
-                F.when(unfinished, F.lit("\n")).otherwise(F.lit("")),
-            ),
+        output = F.concat(
+            F.lit("---\ntitle: "),
+            quote_yaml(d["title"]),
+            F.lit("\n"),
+            lastmod,
+            F.lit("---\n\n"),
+            d["body"],
+            F.when(unfinished, F.lit("\n")).otherwise(F.lit("")),
         )
+        return F.when(d["title"] != "", F.struct(d["title"].alias("title"), output.alias("output")))
 
     parsed = let(
         raw_lines(strip_bom(text)),
@@ -144,6 +142,11 @@ def transformed(text_name: str, modified_name: str) -> Column:
     return F.when(_publishable(path, text), let(let(parsed, document), emit))
 
 
+def transformed(text_name: str, modified_name: str) -> Column:
+    """Published text of the row, or null where the document is refused."""
+    return published_form(text_name, modified_name)["output"]
+
+
 def transform_error(path: Column, text: Column) -> Column:
     """Why a document is refused, null if it is not."""
     return (

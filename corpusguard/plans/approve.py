@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.functions.text import trim_space
+from corpusguard.functions.text import compute_once, trim_space
 from corpusguard.operators import approvals, findings as finding_ops, rules, transform
+from corpusguard.plans.publish import Ruleset, require_same_rules, ruleset_digest
 from corpusguard.schemas import ALLOWLIST
-from corpusguard.session import broadcast_if_measured_small
+from corpusguard.session import broadcast_if_measured_small, materialize
+from corpusguard.sources import commit, sinks
 from corpusguard.sources.strict import raise_if_any
 
 
@@ -24,16 +26,19 @@ class Approval:
         return self.requests.where("problem is not null").select("path", "fingerprint", "problem")
 
 
-def _sides(documents: DataFrame, content: str, modified: str) -> tuple[DataFrame, DataFrame]:
-    """Fingerprinted findings before and after the transform."""
-    source = rules.scan_documents(documents, content)
-    output = rules.scan_documents(
-        documents.select("path", transform.transformed(content, modified).alias("output")).where(
-            "output is not null"
-        ),
-        "output",
+def document_pairs(documents: DataFrame, content: str, modified: str) -> DataFrame:
+    """``path, source_sha256, output_sha256, pair``: findings before and after the transform, aligned in the document's row.
+
+    The text is read once: both scans and the transform between them are one narrow stage.
+    """
+    scanned = rules.scan_documents(documents, content)
+    output = transform.transformed(content, modified).alias("output")
+    both = rules.scan_documents(
+        scanned.select("path", "sha256", "findings", output), "output", "output_sha256", "output_findings"
     )
-    return tuple(finding_ops.with_fingerprint(rules.flatten_findings(side)) for side in (source, output))
+    paired = compute_once(both, "pairs", finding_ops.aligned_pairs(F.col("path"), F.col("findings"), F.col("output_findings")))
+    exploded = paired.select("path", "sha256", "output_sha256", F.explode_outer("pairs").alias("pair"))
+    return exploded.where("pair is not null").withColumnRenamed("sha256", "source_sha256")
 
 
 def paired_requests(documents: DataFrame, requests: DataFrame, content: str, modified: str) -> DataFrame:
@@ -42,10 +47,9 @@ def paired_requests(documents: DataFrame, requests: DataFrame, content: str, mod
     Only documents that a request names are scanned.
     """
     named = documents.join(broadcast_if_measured_small(requests.select("path").distinct(), "requested"), "path", "left_semi")
-    source, output = _sides(named, content, modified)
-    pairs = finding_ops.pair_findings(source, output).select(
+    pairs = document_pairs(named, content, modified).select(
         "path",
-        F.col("source_fingerprint").alias("fingerprint"),
+        F.col("pair.source_fingerprint").alias("fingerprint"),
         *(
             column.alias(f"{side}_{name}")
             for side in ("source", "output")
@@ -53,12 +57,12 @@ def paired_requests(documents: DataFrame, requests: DataFrame, content: str, mod
                 ("completed", F.lit(True)),
                 ("path", F.col("path")),
                 ("sha256", F.col(f"{side}_sha256")),
-                ("line", F.col(f"{side}_line")),
-                ("rule_id", F.col("rule_id")),
-                ("level", F.col("level")),
-                ("reason", F.col("reason")),
-                ("approvable", F.col("approvable")),
-                ("fingerprint", F.col(f"{side}_fingerprint")),
+                ("line", F.col(f"pair.{side}_line")),
+                ("rule_id", F.col("pair.rule_id")),
+                ("level", F.col("pair.level")),
+                ("reason", F.col("pair.reason")),
+                ("approvable", F.col("pair.approvable")),
+                ("fingerprint", F.col(f"pair.{side}_fingerprint")),
             )
         ),
     )
@@ -76,7 +80,10 @@ def approve_findings(
 
     Refused requests are listed in ``problems`` and leave the allowlist as it is.
     """
-    checked = paired_requests(documents, requests, content, modified)
+    return _approval(paired_requests(documents, requests, content, modified), allowlist)
+
+
+def _approval(checked: DataFrame, allowlist: DataFrame) -> Approval:
     entries = checked.where("problem is null").select(
         "path",
         "source_sha256",
@@ -97,3 +104,35 @@ def approve_findings(
 
 def require_accepted(approval: Approval) -> None:
     raise_if_any(approval.problems, "approval requests were refused")
+
+
+def record_approvals(
+    documents: DataFrame,
+    requests: DataFrame,
+    root: str,
+    content: str = "text",
+    modified: str = "modified_at",
+    unchanged: DataFrame | None = None,
+    ruleset: Ruleset | None = None,
+) -> dict:
+    """Check the requests and save the new allowlist under ``root``; all of them or none.
+
+    ``unchanged`` is a second discovery ``path, sha256``: a named document that is gone or
+    reads differently by now stops the save, as does a ``ruleset`` that changed.  Of two
+    reviews that started from the same allowlist one fails and has to be run again.
+    """
+    spark = documents.sparkSession
+    last, _ = commit.state(spark, root)
+    before = ruleset_digest(ruleset) if ruleset is not None else None
+    allowlist = sinks.read_allowlist(spark, root) if last else spark.createDataFrame([], ALLOWLIST)
+    # Written once: the text is not scanned again for the problems, the drift and the entries.
+    approval = _approval(materialize(paired_requests(documents, requests, content, modified), "requests"), allowlist)
+    require_accepted(approval)
+    if unchanged is not None:
+        reviewed = approval.requests.select("path", F.col("source_sha256").alias("sha256")).distinct()
+        now = unchanged.select("path", F.col("sha256").alias("now"))
+        drift = reviewed.join(now, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("now")))
+        raise_if_any(drift.select("path"), "documents changed during the review")
+    if ruleset is not None:
+        require_same_rules(ruleset, before)
+    return sinks.commit_allowlist(approval.allowlist, root, last)

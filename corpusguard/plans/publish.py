@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,14 +13,30 @@ from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
 from corpusguard.functions.text import compute_once, digest
-from corpusguard.operators import approvals, findings as finding_ops, manifest, rules, transform
+from corpusguard.operators import approvals, manifest, receipts, rules, sides, transform
 from corpusguard.plans.scan import Scan, store_reports
 from corpusguard.session import materialize
 from corpusguard.sources import sinks, snapshot
+from corpusguard.sources.commit import require
 from corpusguard.sources.strict import InvalidTable, raise_if_any
 
 BLOCKED = "blocked"
 PUBLISHED = "published"
+SOURCE, OUTPUT = sides.SOURCE, sides.OUTPUT
+DECIDED = (
+    "path",
+    "sha256",
+    "outcome",
+    "findings",
+    "output",
+    "output_sha256",
+    "title",
+    "lastmod",
+    "approved_rules",
+    "scan_problem",
+)
+# The digest of the rules in force, or a function that reads them anew as ``path, content``.
+Ruleset = str | Callable[[], DataFrame]
 
 
 def decide_outcomes(
@@ -33,33 +50,23 @@ def decide_outcomes(
 ) -> DataFrame:
     """Scan, transform and re-scan every document in its own row.
 
-    Adds ``outcome``, ``output``, ``output_sha256``, ``approved_rules`` and the final
-    ``findings``, which include a failed transform.  With an allowlist that can be
-    broadcast no text is shuffled.
+    Adds ``outcome``, ``output``, ``output_sha256``, ``title``, ``lastmod``, ``approved_rules``,
+    ``scan_problem`` and the final ``findings``, which include a failed transform.  Approvals and the
+    receipts of outside scans (``external`` of the sources, ``external_output`` of what
+    ``outputs_to_scan`` gives) come in one side table: text is shuffled once at most, and
+    not at all if that table can be broadcast.
     """
-    scanned = rules.scan_documents(documents, content)
-    if external is not None:
-        scanned = finding_ops.attach_external(scanned, external)
-    marked = approvals.mark_approved(scanned, allowlist, at)
+    given = {side: frame for side, frame in ((SOURCE, external), (OUTPUT, external_output)) if frame is not None}
+    joined = sides.join_sides(documents, sides.side_table(allowlist, at, given))
+    marked = sides.decide_side(rules.scan_documents(joined, content), SOURCE, "sha256", "findings", SOURCE in given)
     passed = ~approvals.has_unapproved()
     reserved = paths.base(F.col("path")) == V.INDEX_FILE
-    first = compute_once(
-        marked,
-        "t",
-        F.struct(
-            passed.alias("passed"),
-            F.when(passed & ~reserved, transform.transformed(content, modified)).alias("output"),
-        ),
-    ).select("*", "t.passed", "t.output")
-    rescanned = rules.scan_documents(first.drop("t"), "output", "output_sha256", "output_findings")
-    if external_output is not None:
-        renamed = rescanned.withColumnRenamed("findings", "_source").withColumnRenamed("output_findings", "findings")
-        rescanned = (
-            finding_ops.attach_external(renamed, external_output)
-            .withColumnRenamed("findings", "output_findings")
-            .withColumnRenamed("_source", "findings")
-        )
-    second = approvals.mark_approved(rescanned, allowlist, at, "output", "output_sha256", "output_findings")
+    form = F.when(passed & ~reserved, transform.published_form(content, modified))
+    first = compute_once(marked, "t", F.struct(passed.alias("passed"), form.alias("form")))
+    first = first.select("*", "t.passed", "t.form.title", "t.form.output").drop("t")
+    rescanned = rules.scan_documents(first, "output", "output_sha256", "output_findings")
+    second = sides.decide_side(rescanned, OUTPUT, "output_sha256", "output_findings", OUTPUT in given)
+    unproved = F.when(F.col("output").isNotNull(), F.col(sides.problem_column(OUTPUT)))
     outcome = (
         F.when(~F.col("passed"), BLOCKED)
         .when(reserved, V.RESERVED_INDEX)
@@ -74,11 +81,27 @@ def decide_outcomes(
         _with_failure().alias("findings"),
         F.when(F.col("outcome") == PUBLISHED, F.col("output")).alias("output"),
         F.when(F.col("outcome") == PUBLISHED, F.col("output_sha256")).alias("output_sha256"),
+        F.when(F.col("outcome") == PUBLISHED, F.col("title")).alias("title"),
+        F.timestamp_seconds(F.unix_seconds(modified)).alias("lastmod"),
+        F.coalesce(sides.problem_column(SOURCE), unproved).alias("scan_problem"),
         F.when(F.col("outcome") == PUBLISHED, approvals.approved_rules("output_findings")).alias("approved_rules"),
-        *(c for c in documents.columns if c not in ("path", "sha256", content)),
+        *(c for c in documents.columns if c not in (*DECIDED, content)),
     )
 
 
+def outputs_to_scan(
+    documents: DataFrame,
+    allowlist: DataFrame,
+    at: datetime | Column,
+    external: DataFrame | None = None,
+    content: str = "text",
+    modified: str = "modified_at",
+) -> DataFrame:
+    """``path, output`` of the documents that pass so far: what an outside scanner has to see before they are published."""
+    decided = decide_outcomes(documents, allowlist, at, external, content=content, modified=modified)
+    return decided.where("output is not null").select("path", "output")
+
+
 def _with_failure() -> Column:
     """Source findings, plus one line-0 finding where publishing failed."""
     plain = F.struct(
@@ -129,17 +152,28 @@ def build_snapshot(
         F.lit(scanner_version),
         F.lit(ruleset_sha256),
     )
-    results = outcomes.select("path", "sha256", "findings").withColumn("completed", F.lit(True))
+    proved = F.col("scan_problem").isNull().alias("completed")
+    results = outcomes.select("path", "sha256", "findings", "scan_problem", proved)
     return Publication(Scan(results, at), files, indexes, rows)
 
 
+def ruleset_digest(ruleset: Ruleset) -> str:
+    """The digest of the rules as they are now."""
+    return ruleset if isinstance(ruleset, str) else manifest.ruleset_fingerprint(ruleset()).first()["ruleset_sha256"]
+
+
+def require_same_rules(ruleset: Ruleset, before: str) -> None:
+    if ruleset_digest(ruleset) != before:
+        raise InvalidTable("rules, scanner version or approvals changed during the run")
+
+
 def publish_corpus(
     documents: DataFrame,
     allowlist: DataFrame,
     at: datetime,
     root: str,
     scanner_version: str,
-    ruleset_sha256: str,
+    ruleset: Ruleset,
     external: DataFrame | None = None,
     external_output: DataFrame | None = None,
     content: str = "text",
@@ -147,14 +181,20 @@ def publish_corpus(
 ) -> dict:
     """Run the whole job.  Reports are written before anything becomes visible.
 
-    ``unchanged`` is a second discovery of the sources; any drift against the scanned
-    digests stops the publication.
+    ``external`` and ``external_output`` are receipts of outside scans; a gap in them stops the
+    job before any report.  ``unchanged`` is a second discovery of the sources; any drift
+    against the scanned digests stops the publication, as does a ``ruleset`` that reads
+    differently at the end.
     """
     spark, content_root = documents.sparkSession, f"{root}/content"
+    ruleset_sha256 = ruleset_digest(ruleset)
     decided = decide_outcomes(documents, allowlist, at, external, external_output, content)
     # The one write of the text: outcomes go straight into the new version's folder.
     version = snapshot.stage(staged_rows(decided), content_root)
     outcomes = read_outcomes(spark, content_root, version)
+    for given in (external, external_output):
+        if given is not None:
+            raise_if_any(receipts.unknown_receipts(outcomes, given), "receipts without a document")
     built = build_snapshot(outcomes, outcomes.select("path"), scanner_version, ruleset_sha256, at)
     store_reports(built.scan, f"{root}/reports")
     ordered = materialize(manifest.encode_manifest(built.manifest), "manifest")
@@ -169,6 +209,7 @@ def publish_corpus(
                 outcomes.select("path", "sha256"), unchanged, ("removed", "added", "changed"), "sha256"
             )
             raise_if_any(drift, "sources changed during the scan")
+        require_same_rules(ruleset, ruleset_sha256)
 
     # Nothing may fail once the pointer moves, so the manifest is checked and stored before.
     sinks.write_manifest(ordered, f"{root}/manifests/version={version}")
@@ -185,6 +226,9 @@ def staged_rows(outcomes: DataFrame) -> DataFrame:
         "outcome",
         "findings",
         "approved_rules",
+        "title",
+        "lastmod",
+        "scan_problem",
         F.when(published, snapshot.DOCUMENT).otherwise(snapshot.HELD).alias("kind"),
     )
 
@@ -200,11 +244,11 @@ def read_outcomes(spark: SparkSession, root: str, version: str) -> DataFrame:
         F.col("data").alias("output"),
         F.col("sha256").alias("output_sha256"),
         "approved_rules",
+        "title",
+        "lastmod",
+        "scan_problem",
     )
 
 
 def published_manifest_path(spark: SparkSession, root: str) -> str:
-    pointer = snapshot.current(spark, f"{root}/content")
-    if pointer is None:
-        raise InvalidTable(f"{root} holds no published snapshot")
-    return f"{root}/manifests/version={pointer['version']}"
+    return f"{root}/manifests/version={require(spark, f'{root}/content')['version']}"

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
-from corpusguard.operators import approvals, manifest as manifests, rules
+from corpusguard.operators import approvals, manifest as manifests, receipts, rules, sides
 from corpusguard.session import materialize
 
 
-def rescan(files: DataFrame, allowlist: DataFrame, at: datetime | Column) -> DataFrame:
-    """Published files scanned again; keeps their digest, so text is read once."""
+def rescan(
+    files: DataFrame, allowlist: DataFrame, at: datetime | Column, external: DataFrame | None = None
+) -> DataFrame:
+    """Published files scanned again; keeps their digest, so text is read once.
+
+    ``external`` holds the receipts of an outside scan of the published files.
+    """
     scanned = rules.scan_documents(files, "data").select("path", "sha256", "findings")
-    marked = approvals.mark_approved(scanned, allowlist, at, "output")
+    given = {} if external is None else {sides.OUTPUT: external}
+    joined = sides.join_sides(scanned, sides.side_table(allowlist, at, given, (sides.OUTPUT,)))
+    marked = sides.decide_side(joined, sides.OUTPUT, "sha256", "findings", external is not None)
     return marked.select(
         "path",
         "sha256",
         approvals.has_unapproved().alias("unapproved"),
         F.exists("findings", lambda f: f["level"] == V.BLOCK).alias("blocking"),
         approvals.approved_rules().alias("rules"),
+        F.col(sides.problem_column(sides.OUTPUT)).alias("scan_problem"),
     )
 
 
@@ -49,13 +57,18 @@ def verify_corpus(
     scanner_version: str,
     ruleset_sha256: str,
     directories: DataFrame | None = None,
+    external: DataFrame | None = None,
 ) -> DataFrame:
     """Violations ``check, path, problem`` of published ``path, data``; empty means verified.
 
     The text is read once: the outcome of the re-scan is written, and every check
-    works on that narrow table.
+    works on that narrow table.  ``external`` are receipts of an outside scan of every
+    published file; its findings block like own ones, and a gap in it is a violation.
     """
-    scanned = materialize(rescan(files, allowlist, at), "rescan")
+    scanned = materialize(rescan(files, allowlist, at, external), "rescan")
+    unproved = scanned.where("scan_problem is not null").select("path", F.col("scan_problem").alias("problem"))
+    if external is not None:
+        unproved = unproved.unionByName(receipts.unknown_receipts(scanned, external))
     if directories is None:
         directories = directories_of(scanned)
 
@@ -68,5 +81,6 @@ def verify_corpus(
         .unionByName(labelled("header", header_problems(manifest, scanner_version, ruleset_sha256)))
         .unionByName(labelled("digest", manifests.verify_manifest(scanned, manifest), "status"))
         .unionByName(labelled("boundary", manifests.verify_boundary(scanned, directories, manifest)))
+        .unionByName(labelled("external", unproved))
         .unionByName(labelled("document", manifests.verify_documents(scanned, manifest)))
     )

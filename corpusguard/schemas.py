@@ -13,11 +13,15 @@ FINDING = T.StructType(
 )
 FINDINGS = T.ArrayType(FINDING)
 
-EXTERNAL = T.StructType(
+RECEIPT = T.StructType(
     [
         T.StructField("path", T.StringType()),
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("line", T.LongType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("completed", T.BooleanType()),
+        T.StructField(
+            "findings",
+            T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("line", T.LongType())])),
+        ),
     ]
 )
 
@@ -37,6 +41,8 @@ ALLOWLIST = T.StructType(
         T.StructField("expires_at", T.TimestampType()),
     ]
 )
+# As stored: every row says which version of the format it has.
+STORED_ALLOWLIST = T.StructType([T.StructField("version", T.IntegerType()), *ALLOWLIST.fields])
 # A document cannot hold two entries with these six equal.
 ENTRY_KEY = (
     "path",
@@ -80,6 +86,24 @@ INVENTORY_FINDING = T.StructType(
     ]
 )
 
+INVENTORY = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("findings", T.ArrayType(INVENTORY_FINDING)),
+    ]
+)
+INVENTORY_HEADER = T.StructType(
+    [
+        T.StructField("version", T.IntegerType()),
+        T.StructField("generated_at", T.TimestampType()),
+        T.StructField("candidate_count", T.LongType()),
+        T.StructField("passed_count", T.LongType()),
+        T.StructField("excluded_count", T.LongType()),
+    ]
+)
+
 # One row per manifest entry; ``kind`` is "document" or "index" and ``sha256``
 # is the digest of the published text.
 MANIFEST = T.StructType(

@@ -8,7 +8,6 @@ pointer, so a failed run leaves the previous snapshot in place.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Callable
 
@@ -18,32 +17,13 @@ from pyspark.sql import functions as F
 from corpusguard.functions import paths
 from corpusguard.functions.text import digest
 from corpusguard.operators.manifest import table_digest
-from corpusguard.sources.strict import InvalidTable, raise_if_any
-
-_POINTER = "sequence bigint, version string, tree_sha256 string"
-
+from corpusguard.sources.commit import advance, create_once, current, exists, require, state  # noqa: F401
+from corpusguard.sources.strict import raise_if_any
 
 # Partition folders of a version: what readers see, and rows kept for the reports.
 DOCUMENT, INDEX, HELD = "document", "index", "held"
 
 
-def _pointer(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_POINTER).json(f"{root}/pointer")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-
-
-def current(spark: SparkSession, root: str) -> dict | None:
-    """The newest pointer row; the pointer table has one row per publication."""
-    if not exists(spark, f"{root}/pointer"):
-        return None
-    row = _pointer(spark, root).orderBy(F.desc("sequence")).limit(1).collect()
-    return row[0].asDict() if row else None
-
-
 def version_folder(root: str, version: str) -> str:
     return f"{root}/version={version}"
 
@@ -56,10 +36,23 @@ def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The visible snapshot."""
-    pointer = current(spark, root)
-    if pointer is None:
-        raise InvalidTable(f"{root} holds no published snapshot")
-    return read_version(spark, root, pointer["version"])
+    return read_version(spark, root, require(spark, root)["version"])
+
+
+def read_columns(spark: SparkSession, root: str, kinds: tuple[str, ...], schema: str) -> DataFrame:
+    """Some staged columns of the visible version's rows; the text is not read, nor are other kinds."""
+    staged = spark.read.schema(f"{schema}, kind string").parquet(version_folder(root, require(spark, root)["version"]))
+    return staged.where(F.col("kind").isin(*kinds)).drop("kind")
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """``path, title, lastmod`` of the documents on show."""
+    return read_columns(spark, root, (DOCUMENT,), "path string, title string, lastmod timestamp")
+
+
+def read_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of every document that the visible version decided on, those held back included."""
+    return read_columns(spark, root, (DOCUMENT, HELD), "path string")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -97,12 +90,12 @@ def activate(
     identity keeps the pointer where it is.  The pointer is a new file named by its sequence: of two
     publishers that read the same state one fails.
     """
+    last, visible = state(spark, root)
     staged = read_version(spark, root, version)
     raise_if_any(invalid_files(staged), "staged snapshot failed its integrity check")
     tree = table_digest(staged, ["path", "sha256"]).first()
     if final_validation is not None:
         final_validation(staged)
-    visible = current(spark, root)
     tree_sha256 = tree["sha256"] if tree else ""
     if manifest is not None:
         described = manifest.withColumn("approved_rules", F.to_json("approved_rules"))
@@ -110,25 +103,7 @@ def activate(
         tree_sha256 = hashlib.sha256(f"{tree_sha256} {rows['sha256'] if rows else ''}".encode()).hexdigest()
     if visible is not None and visible["tree_sha256"] == tree_sha256:
         return visible
-    row = {
-        "sequence": (visible["sequence"] if visible else 0) + 1,
-        "version": version,
-        "tree_sha256": tree_sha256,
-    }
-    create_once(spark, f"{root}/pointer/sequence-{row['sequence']:012d}.json", json.dumps(row))
-    return row
-
-
-def create_once(spark: SparkSession, path: str, text: str) -> None:
-    """Create a small file; fail if another writer was there first."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        stream = files.create(location, False)
-    except Exception as error:
-        raise InvalidTable(f"another publisher was faster: {path}") from error
-    stream.write(bytearray((text + "\n").encode()))
-    stream.close()
+    return advance(spark, root, last, {"version": version, "tree_sha256": tree_sha256})
 
 
 def publish_snapshot(

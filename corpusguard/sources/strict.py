@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusguard import fixed_values as V
 from corpusguard.operators.approvals import sort_entries, validate_allowlist
 from corpusguard.operators.manifest import validate_manifest
 from corpusguard.operators.reports import validate_report
-from corpusguard.schemas import ALLOWLIST, MANIFEST, REPORT, REPORT_FINDING
+from corpusguard.schemas import MANIFEST, REPORT, REPORT_FINDING, STORED_ALLOWLIST
 
 
 class InvalidTable(ValueError):
@@ -60,8 +61,15 @@ def load_strict(
     return table
 
 
+def stored_allowlist_problems(stored: DataFrame) -> DataFrame:
+    """Violations of a stored allowlist: rows of another format version, then those of its entries."""
+    other = ~F.col("version").eqNullSafe(F.lit(V.ALLOWLIST_VERSION))
+    versions = stored.where(other).select("path", "rule", F.lit("version").alias("problem"))
+    return versions.unionByName(validate_allowlist(stored.where(~other)))
+
+
 def load_allowlist(spark: SparkSession, path: str) -> DataFrame:
-    return sort_entries(load_strict(spark, path, ALLOWLIST, validate_allowlist))
+    return sort_entries(load_strict(spark, path, STORED_ALLOWLIST, stored_allowlist_problems).drop("version"))
 
 
 def load_report(spark: SparkSession, path: str) -> DataFrame:

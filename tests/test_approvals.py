@@ -1,13 +1,17 @@
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
+from corpusguard.functions.text import digest
 from corpusguard.operators import approvals, findings, reports, rules
 from corpusguard.plans import approve, scan
 from corpusguard.schemas import ALLOWLIST
-from corpusguard.sources import sinks, strict
+from corpusguard.session import materialize
+from corpusguard.sources import commit, sinks, strict
 
 AT = datetime(2026, 7, 18, 9, 0)
 BODY = "# Title\n\nhost 10.1.2.3\nother 10.1.2.4\n"
@@ -166,7 +170,7 @@ def test_report_and_inventory(spark, approved, tmp_path):
     assert inventory["team/clean.md"]["status"] == "passed"
     assert len(inventory["team/hosts.md"]["findings"]) == 3
     scan.write_reports(run, str(tmp_path / "reports"))
-    first = strict.load_report(spark, str(tmp_path / "reports/exclusions"))
+    first = sinks.read_reports(spark, str(tmp_path / "reports")).exclusions
     assert first.drop("version").exceptAll(run.exclusions.drop("version")).isEmpty()
     # Save, load and save again: same rows.
     sinks.write_exclusion_report(first, str(tmp_path / "again"))
@@ -209,5 +213,71 @@ def test_allowlist_is_loaded_strictly(spark, approved, tmp_path):
     reject(line[:-1], "cut")
     reject(line + "\n" + line, "duplicate")
     reject(line.replace('"level":"block"', '"level":"warning"'), "level")
+    reject(line.replace('"version":1', '"version":2'), "later")
+    reject(line.replace('"version":1,', ""), "unversioned")
     with pytest.raises(strict.InvalidTable):
         sinks.save_allowlist(approved.unionByName(approved), str(tmp_path / "twice"))
+
+
+def test_many_approvals_of_many_findings(spark):
+    """10,000 findings and as many approvals of one document take linear time, and each meets its own."""
+
+    def seconds(n):
+        lines = "\n".join(f"host 10.1.{i // 200}.{i % 200}" for i in range(n))
+        docs = spark.createDataFrame([("many.md", lines)], "path string, text string")
+        found = findings.with_fingerprint(rules.flatten_findings(rules.scan_documents(docs)))
+        entries = found.where("line % 3 <> 0").select(
+            "path", F.col("sha256").alias("source_sha256"), F.col("fingerprint").alias("source_finding_fingerprint"),
+            F.col("line").alias("source_line"), F.col("sha256").alias("output_sha256"),
+            F.col("fingerprint").alias("output_finding_fingerprint"), F.col("line").alias("output_line"),
+            F.col("rule_id").alias("rule"), "level", F.lit("reviewed").alias("reason"),
+            F.lit(datetime(2026, 1, 1)).alias("approved_at"), F.lit(datetime(2027, 1, 1)).alias("expires_at"),
+        )
+        stored = materialize(entries, "many")
+        results = materialize(rules.scan_documents(docs).drop("text"), "results")
+        started = time.perf_counter()
+        marked = approvals.mark_approved(results, stored, AT).select(F.explode("findings").alias("f")).select("f.*").collect()
+        took = time.perf_counter() - started
+        assert len(marked) == n and all(r["approved"] == (r["line"] % 3 != 0) for r in marked)
+        return took
+
+    seconds(100)
+    assert seconds(10_000) < 15 * seconds(1_000) + 3
+
+
+def test_pairs_in_the_row_equal_pairs_by_join(spark):
+    """The n-th finding of a kind on both sides; kinds that differ in number are refused."""
+    rng = random.Random(4)
+    kinds = ["10.1.2.3", "password = abcdefgh", "see fe80::1", "[[x]]", "file:///x", "ok", "db.internal"]
+    rows = [(f"p{i}.md", "\n".join(rng.choice(kinds) for _ in range(rng.randrange(12))), "\n".join(rng.choice(kinds) for _ in range(rng.randrange(12))))
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "path string, text string, output string")
+    both = rules.scan_documents(rules.scan_documents(docs), "output", "output_sha256", "output_findings")
+    aligned = both.select("path", F.explode(findings.aligned_pairs(F.col("path"), F.col("findings"), F.col("output_findings"))).alias("p"))
+    columns = ["path", "rule_id", "source_line", "source_fingerprint", "output_line", "output_fingerprint"]
+    in_row = aligned.select("path", "p.*").select(*columns)
+    sides = [findings.with_fingerprint(rules.flatten_findings(rules.scan_documents(docs.select("path", F.col(c).alias("text"))))) for c in ("text", "output")]
+    joined = findings.pair_findings(*sides).select(*columns)
+    assert joined.count() > 100 and in_row.exceptAll(joined).isEmpty() and joined.exceptAll(in_row).isEmpty()
+
+
+def test_review_reads_text_once_and_stops_on_drift(spark, tmp_path):
+    root = str(tmp_path / "allowlists")
+    documents(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = materialize(requests(spark, docs), "requests")
+    plan = approve.paired_requests(docs, asked, "text", "modified_at")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(str(tmp_path / "docs")) == 1
+    accepted = asked.join(approve.approve_findings(docs, asked, empty(spark)).problems, ["path", "fingerprint"], "left_anti")
+    now = docs.select("path", digest(F.col("text")).alias("sha256"))
+    with pytest.raises(strict.InvalidTable, match="changed during the review"):
+        approve.record_approvals(docs, accepted, root, unchanged=now.withColumn("sha256", F.reverse("sha256")))
+    with pytest.raises(strict.InvalidTable, match="changed during the review"):
+        approve.record_approvals(docs, accepted, root, unchanged=now.limit(0))
+    assert commit.current(spark, root) is None
+    approve.record_approvals(docs, accepted, root, unchanged=now)
+    first = sinks.read_allowlist(spark, root)
+    assert first.count() == accepted.count() > 0
+    # A review that started from the same state as one saved meanwhile fails.
+    with pytest.raises(strict.InvalidTable, match="faster"):
+        sinks.commit_allowlist(first, root, 0)

@@ -1,6 +1,7 @@
 """Random text through the Spark scan, the transform and the oracle SQL."""
 
 import random
+import time
 from datetime import datetime
 
 import duckdb
@@ -96,6 +97,8 @@ def test_links_agree(spark):
     "name, alphabet, groups",
     [
         ("markdown_link", "[]]()(!!a <>\t", (1, 2)),
+        ("markdown_link", "[]()!a <>", (1, 2)),
+        ("markdown_link", "[](a>)", (1, 2)),
         ("wiki_link", "[[]]a ", ()),
         ("credential_url", "a1-+.:://@@_b kK ", ()),
         ("html_tag", "<<//  \tx>", ()),
@@ -104,7 +107,7 @@ def test_links_agree(spark):
 def test_linear_forms_find_the_same(spark, name, alphabet, groups):
     """Patterns rewritten for long lines, on short strings dense in their delimiters."""
     draw = random.Random(name)
-    pieces = [*alphabet, "](", "://", "[[", "aa:bbbb@", "form", "ba\u017Fe"]
+    pieces = [*alphabet, "](", "[](", "](a", "://", "[[", "aa:bbbb@", "form", "ba\u017Fe"]
     texts = sorted({"".join(draw.choice(pieces) for _ in range(draw.randint(1, 16))) for _ in range(12000)})
     connection = duckdb.connect()
     connection.register("made", pd.DataFrame({"text": texts}))
@@ -114,6 +117,13 @@ def test_linear_forms_find_the_same(spark, name, alphabet, groups):
     found = frame.select(
         "text", regex.matches(text, name).alias("m"), *(regex.extract_all(text, name, g).alias(f"g{g}") for g in groups)
     )
+    if name == "markdown_link":
+        found = found.withColumn("links", rules.markdown_links(text)).select(
+            "text",
+            "m",
+            F.transform("links", lambda x: F.when(x["is_image"], "!").otherwise("")).alias("g1"),
+            F.transform("links", lambda x: x["target"]).alias("g2"),
+        )
     columns = "".join(
         f", list_transform(regexp_extract_all(text, {pattern}, {g}), lambda x: coalesce(x, ''))" for g in groups
     )
@@ -123,9 +133,38 @@ def test_linear_forms_find_the_same(spark, name, alphabet, groups):
     assert [t for t, *rest in expected if got[t] != tuple(rest)] == []
 
 
+def test_headings_and_tags_agree(spark):
+    """Headings of pages dense in tags, closed or not, and what is left of them without tags."""
+    draw = random.Random(11)
+    pieces = ["<h1>", "<H1 a='b'>", "</h1>", "</H1>", "<h1", "<h1x>", "<", ">", "<b>", "</b>", "a", " ", "&amp;", "\n", "<>", "K", "é"]
+    pages = sorted({"".join(draw.choice(pieces) for _ in range(draw.randint(1, 18))) for _ in range(8000)})
+    frame = pd.DataFrame({"site": "s", "file": [f"docs/{i}/index.html" for i in range(len(pages))], "html": pages})
+    connection = duckdb.connect()
+    connection.register("site_pages", frame)
+    expected = connection.execute(S.with_(S.HEADINGS[len(S.PAGES):], "SELECT file, h FROM headings")).fetchall()
+    found = {r["file"]: r["headings"] for r in links.page_headings(spark.createDataFrame(frame)).collect()}
+    assert sum(len(h) > 1 for _, h in expected) > 300
+    assert [f for f, h in expected if found.get(f, []) != h] == []
+
+
 def test_long_lines_take_linear_time(spark):
     """Without the rewritten forms each of these needs minutes."""
     rows = [("a.md", "[" * 60000 + "](a b"), ("b.md", "a-" * 60000 + "://x"), ("c.md", "[[a " * 30000)]
     rows += [("d.md", "<" + " " * 400_000), ("e.md", "[x](a" + " " * 400_000), ("f.md", "< / " * 60_000)]
+    rows += [("g.md", "[](a" * 200_000), ("h.md", "[](a b " * 100_000), ("i.md", "[](a>" * 100_000), ("j.md", "[x](a[" * 100_000 + ">y")]
     docs = spark.createDataFrame(rows, "path string, text string")
     assert rules.flatten_findings(rules.scan_documents(docs)).count() == 0
+
+
+def test_long_pages_take_linear_time(spark):
+    """Headings and tags that nothing closes: four times the text may not take much more than four times as long."""
+
+    def seconds(size):
+        bodies = ["<h1>" * size, "<h1 " * size, "<h1>a</h1><h1>" + "<" * size + "</h1>", "<h1>" + "<b" * size]
+        pages = spark.createDataFrame([("s", f"docs/{i}/index.html", b) for i, b in enumerate(bodies)], "site string, file string, html string")
+        started = time.perf_counter()
+        assert links.duplicate_leading_h1(pages).count() == 0
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(400_000) < 12 * seconds(100_000) + 2

@@ -3,10 +3,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusguard.operators import findings, manifest, rules, stats, transform
-from corpusguard.plans import approve, publish, verify
+from corpusguard.operators import findings, manifest, receipts, rules, sides, stats, transform
+from corpusguard.plans import approve, publish, scan, verify
 from corpusguard.schemas import ALLOWLIST
-from corpusguard.sources import discover, snapshot, strict
+from corpusguard.sources import commit, discover, external, sinks, snapshot, strict
 
 AT = datetime(2026, 7, 18)
 RULESET = "a" * 64
@@ -97,8 +97,14 @@ def test_published_tree_and_manifest(spark, site):
     }
     stored = strict.load_manifest(spark, publish.published_manifest_path(spark, site))
     assert [r["ordinal"] for r in stored.orderBy("kind", "path").collect()] == list(range(1, 8))
-    excluded = strict.load_report(spark, f"{site}/reports/exclusions")
-    assert [r["path"] for r in excluded.collect()] == ["a/local.md", "b/escape.md", "c/_index.md", "c/front.md"]
+    stored = sinks.read_reports(spark, f"{site}/reports")
+    assert [r["path"] for r in stored.exclusions.collect()] == ["a/local.md", "b/escape.md", "c/_index.md", "c/front.md"]
+    assert stored.header.first()["candidate_count"] == 6 and stored.documents.count() == 6
+    shown = snapshot.read_published(spark, f"{site}/content").orderBy("path").collect()
+    assert [tuple(r) for r in shown] == [("a/good.md", "Good", datetime(2026, 1, 1)), ("d/late.md", "[[x]", datetime(2026, 1, 1))]
+    assert snapshot.read_candidates(spark, f"{site}/content").count() == 6
+    plan = snapshot.read_published(spark, f"{site}/content")._jdf.queryExecution().executedPlan().toString()
+    assert "data" not in plan.split("ReadSchema")[1]
     assert check(spark, site) == []
 
 
@@ -238,3 +244,148 @@ def test_statistics(spark):
     assert [tuple(r) for r in stats.recent_documents(published, 3).collect()] == [
         ("r.md", "R", "文档", "2026-01-04"), ("a/b/y.md", "Y", "b", "2026-01-03"), ("a/b/z.md", "Z", "b", "2026-01-03"),
     ]
+
+
+# --- commits ----------------------------------------------------------------------------------
+
+
+def empty_pointer(spark, root, sequence):
+    location = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer/sequence-{sequence:012d}.json")
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).create(location, False).close()
+
+
+def test_publisher_that_died_is_passed_over(spark, tmp_path):
+    """A pointer file without content neither hides the snapshot nor stops later publishers."""
+    root = str(tmp_path)
+    files = spark.createDataFrame([("a.md", "one")], "path string, data string")
+    empty_pointer(spark, root, 1)
+    assert snapshot.current(spark, root) is None
+    first = snapshot.publish_snapshot(files, root)
+    assert first["sequence"] == 2
+    empty_pointer(spark, root, 3)
+    (tmp_path / "pointer" / "sequence-000000000004.json").write_text('{"sequence": 4, "ver')
+    (tmp_path / "pointer" / ".pending-x").write_text("{}")
+    assert snapshot.current(spark, root) == first
+    second = snapshot.publish_snapshot(files.withColumn("data", F.lit("two")), root)
+    assert second["sequence"] == 5 and snapshot.read_snapshot(spark, root).first()["data"] == "two"
+
+
+def test_of_two_publishers_one_fails(spark, tmp_path):
+    root = str(tmp_path)
+    commit.advance(spark, root, 0, {"version": "a"})
+    last, _ = commit.state(spark, root)
+    assert commit.advance(spark, root, last, {"version": "b"})["sequence"] == 2
+    with pytest.raises(strict.InvalidTable, match="faster"):
+        commit.advance(spark, root, last, {"version": "c"})
+    assert commit.current(spark, root)["version"] == "b"
+    assert not [p.name for p in (tmp_path / "pointer").iterdir() if p.name.startswith(".pending")]
+
+
+def test_reports_are_shown_together_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path)
+    run = scan.scan_corpus(corpus(spark), empty(spark), AT)
+    first = scan.write_reports(run, root)
+    broken = run.exclusions.withColumn("status", F.lit("closed"))
+    with pytest.raises(strict.InvalidTable):
+        sinks.commit_reports(broken, run.inventory, AT, root)
+    with pytest.raises(strict.InvalidTable, match="disagree"):
+        sinks.commit_reports(run.exclusions.where("path <> 'a/local.md'"), run.inventory, AT, root)
+    assert commit.current(spark, root) == first
+    fewer = scan.scan_corpus(corpus(spark).where("path < 'b'"), empty(spark), AT)
+    scan.write_reports(fewer, root)
+    stored = sinks.read_reports(spark, root)
+    assert [r["path"] for r in stored.exclusions.collect()] == ["a/local.md"]
+    assert stored.documents.count() == 2 and tuple(stored.header.first())[2:] == (2, 1, 1)
+
+
+# --- receipts of an outside scanner -------------------------------------------------------------
+
+
+def scanner(needle, rule="key"):
+    return lambda: lambda path, data: [(rule, 1 + data[: data.index(needle)].count(b"\n"))] if needle in data else []
+
+
+def test_outside_findings_hold_back_sources_and_outputs(spark):
+    docs = corpus(spark)
+    source = external.scan_externally(docs, scanner(b"example.com"), "text")
+    decided = publish.decide_outcomes(docs, empty(spark), AT, source)
+    assert {r["path"]: r["outcome"] for r in decided.collect()}["a/good.md"] == "blocked"
+    assert decided.where("scan_problem is not null").isEmpty()
+    clean = external.scan_externally(docs, scanner(b"nothing at all"), "text")
+    outputs = publish.outputs_to_scan(docs, empty(spark), AT, clean)
+    assert {r["path"] for r in outputs.collect()} == {"a/good.md", "d/late.md"}
+    seen = external.scan_externally(outputs, scanner(b"lastmod"), "output")
+    late = {r["path"]: r for r in publish.decide_outcomes(docs, empty(spark), AT, clean, seen).collect()}
+    assert late["a/good.md"]["outcome"] == "content.output-safety-mismatch"
+    assert late["a/local.md"]["outcome"] == "blocked" and late["a/local.md"]["scan_problem"] is None
+
+
+@pytest.mark.parametrize(
+    "fault, problem",
+    [
+        (lambda r: r.where("path <> 'b/escape.md'"), "unscanned"),
+        (lambda r: r.withColumn("sha256", F.when(F.col("path") == "b/escape.md", F.lit("0" * 64)).otherwise(F.col("sha256"))), "stale"),
+        (lambda r: r.withColumn("completed", F.col("path") != "b/escape.md"), "incomplete"),
+        (lambda r: r.unionByName(r.where("path = 'b/escape.md'")), "repeated"),
+        (lambda r: r.unionByName(r.where("path = 'b/escape.md'").withColumn("path", F.lit("z.md"))), "unknown"),
+    ],
+)
+def test_a_gap_in_the_outside_scan_stops_every_job(spark, tmp_path, site, fault, problem):
+    docs = corpus(spark)
+    whole = external.scan_externally(docs, scanner(b"nothing at all"), "text")
+    faulty = fault(whole)
+    path = "z.md" if problem == "unknown" else "b/escape.md"
+    run = scan.scan_corpus(docs, empty(spark), AT, faulty)
+    assert [tuple(r) for r in run.gaps.collect()] == [(path, problem)]
+    assert [tuple(r) for r in receipts.receipt_gaps(discover.discover_documents(docs, "text"), faulty).collect()] == [(path, problem)]
+    with pytest.raises(strict.InvalidTable):
+        scan.write_reports(run, str(tmp_path / "r"))
+    with pytest.raises(strict.InvalidTable):
+        publish.publish_corpus(docs, empty(spark), AT, str(tmp_path / "p"), VERSION, RULESET, external=faulty)
+    assert commit.current(spark, str(tmp_path / "r")) is None
+    assert commit.current(spark, str(tmp_path / "p/content")) is None and commit.current(spark, str(tmp_path / "p/reports")) is None
+    files = snapshot.read_snapshot(spark, f"{site}/content").select("path", "data")
+    stored = strict.load_manifest(spark, publish.published_manifest_path(spark, site))
+    seen = external.scan_externally(files, scanner(b"nothing at all"), "data")
+    verified = lambda given: verify.verify_corpus(files, stored, empty(spark), AT, VERSION, RULESET, external=given)
+    assert verified(seen).isEmpty()
+    bent = fault(seen.withColumn("path", F.when(F.col("path") == "a/good.md", F.lit("b/escape.md")).otherwise(F.col("path"))))
+    bent = bent.withColumn("path", F.when(F.col("path") == "b/escape.md", F.lit("a/good.md")).otherwise(F.col("path")))
+    expected = ("external", "z.md" if problem == "unknown" else "a/good.md", problem)
+    assert [tuple(r) for r in verified(bent).collect()] == [expected]
+
+
+def test_unfinished_outside_scan_is_no_clean_one(spark):
+    docs = corpus(spark)
+    given_up = lambda: lambda path, data: None if path == "a/good.md" else []
+    run = scan.scan_corpus(docs, empty(spark), AT, external.scan_externally(docs, given_up, "text"))
+    assert [tuple(r) for r in run.gaps.collect()] == [("a/good.md", "incomplete")]
+
+
+def test_text_moves_once_at_most(spark):
+    """With nothing broadcast, approvals and receipts of both sides reach the text by one join."""
+    docs = corpus(spark)
+    proof = external.scan_externally(docs, scanner(b"nothing at all"), "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    limit = sides.broadcast_if_measured_small
+    sides.broadcast_if_measured_small = lambda frame, name: frame
+    try:
+        plan = publish.decide_outcomes(docs, empty(spark), AT, proof, proof)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        sides.broadcast_if_measured_small = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 1
+
+
+def test_rules_that_change_during_the_job_stop_it(spark, tmp_path):
+    reads = iter(["one", "one", "one", "two"])
+    table = lambda: spark.createDataFrame([("rules/a", next(reads))], "path string, content string")
+    first = publish.publish_corpus(corpus(spark), empty(spark), AT, str(tmp_path), VERSION, table)
+    stored = strict.load_manifest(spark, publish.published_manifest_path(spark, str(tmp_path)))
+    assert {r["ruleset_sha256"] for r in stored.collect()} == {publish.ruleset_digest(
+        lambda: spark.createDataFrame([("rules/a", "one")], "path string, content string"))}
+    more = corpus(spark, [("e/new.md", "new\n", datetime(2026, 1, 1))])
+    with pytest.raises(strict.InvalidTable, match="changed during the run"):
+        publish.publish_corpus(more, empty(spark), AT, str(tmp_path), VERSION, table)
+    assert snapshot.current(spark, f"{tmp_path}/content") == first

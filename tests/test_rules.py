@@ -2,8 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusguard import fixed_values as V
-from corpusguard.operators import findings as finding_ops
-from corpusguard.operators import rules
+from corpusguard.operators import receipts, rules
 
 TOKEN = "gh" + "p_" + "A" * 24
 SECRET = "x" * 12
@@ -133,11 +132,11 @@ def test_scan_is_repeatable(spark):
 
 def test_external_findings_join_and_prefix(spark):
     docs = spark.createDataFrame([("n.md", "10.1.2.3"), ("m.md", "ok")], "path string, text string")
-    external = spark.createDataFrame(
-        [("m.md", " aws key ", -3), ("m.md", " aws key ", -3), ("n.md", "--", 1)],
-        "path string, rule_id string, line bigint",
-    )
-    merged = finding_ops.attach_external(rules.scan_documents(docs).drop("text"), external)
+    reported = {"m.md": [(" aws key ", -3), (" aws key ", -3)], "n.md": [("--", 1)]}
+    proofs = spark.createDataFrame([(p, [("0" * 64, True, found)]) for p, found in reported.items()],
+                                   "path string, r array<struct<sha256:string,completed:boolean,findings:array<struct<rule_id:string,line:bigint>>>>")
+    joined = rules.scan_documents(docs).drop("text").join(proofs, "path")
+    merged = joined.withColumn("findings", receipts.with_external(F.col("findings"), F.col("r")))
     rows = rules.flatten_findings(merged).collect()
     assert {(r["path"], r["line"], r["rule_id"]) for r in rows} == {
         ("m.md", 0, "gitleaks.aws-key"),
