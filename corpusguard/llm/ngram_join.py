@@ -3,8 +3,10 @@
 Rows of the matrix are documents, columns are hashed n-grams.  Columns are dealt into
 blocks.  Two linked documents differ in few columns (a bound that follows from their
 sizes), so with more blocks than that they agree on a whole block.  Only rows that agree
-on a block are multiplied: their overlap is summed up and pairs below the size-derived
-bound are discarded.
+on a block are multiplied, in blocks of bounded size: a row's overlaps with all rows of a
+block are summed up over its n-grams, and pairs below the size-derived bound are discarded.
+A class of rows that keys connect is multiplied first by its centres, then by all rows
+that are not connected by then, so that no link between any two of them is lost.
 """
 
 from __future__ import annotations
@@ -18,17 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import BLOCK_CHARS, numbered_blocks, store
+from corpusguard.llm.common import BLOCK_CHARS, discard, numbered_blocks, store, whole_groups
 from corpusguard.llm.graph import components
 from corpusguard.llm.hashing import WordHashes, mix, run_hashes
 from corpusguard.llm.word_blocks import pack, unpack
+from corpusguard.session import broadcast_if_measured_small
 
 # Two documents link if PERCENT of the union is shared.
 WORDS, PERCENT = 4, 85
 # Keys that one bucket of the product should get, and keys a character of text gives at most.
 BUCKET_KEYS, KEYS_PER_CHAR = 2_000_000, 0.08
-# Column blocks over which members are counted for a bound of the overlap.
-COUNTED = 128
+# N-grams of the rows of one side of a block product.
+SIDE_GRAMS = 1_000_000
 # Places of a block of documents.
 SLOT_BITS, SEQUENCE_BITS = 20, 20
 
@@ -211,51 +214,126 @@ def candidate_stars(matrix: DataFrame) -> DataFrame:
     return across.union(inside.select("e.members", "e.centres")).distinct()
 
 
-def pairs_between(apart: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: rows of two components that share a key although their centres don't link.
+def dealt(uses: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, i, j, side, ref, label, members: uses (group, side, ref, label) with their sets, in blocks of bounded size.
 
-    A pair whose sizes, or whose members counted by column block, rule out the overlap is
-    discarded within the join.  Two rows alone were compared before.
+    Each block of a group's side 0 meets each block of its side 1 once; only a group beyond SIDE_GRAMS is cut.
     """
-    rows = sets.select("ref", "counts", F.length("members").alias("bytes")).join(
-        labels.withColumnRenamed("node", "ref"), "ref", "left"
+    sized = uses.join(sets.select("ref", "size"), "ref")
+    blocks = [F.ceil(F.sum(F.when(F.col("side") == side, F.col("size"))) / SIDE_GRAMS).cast("int") for side in (0, 1)]
+    large = sized.groupBy("group").agg(*(n.alias(f"n{side}") for side, n in enumerate(blocks))).where("n0 > 1 or n1 > 1")
+    large = broadcast_if_measured_small(large.withColumnRenamed("group", "large"), "large")
+    cut = uses.join(large, F.col("group") == F.col("large"), "left")
+    own, others = (
+        F.coalesce(F.when(F.col("side") == 0, F.col(first)).otherwise(F.col(second)), F.lit(1))
+        for first, second in (("n0", "n1"), ("n1", "n0"))
     )
-    rows = rows.select("ref", "counts", "bytes", F.coalesce("label", "ref").alias("label"))
-    sizes = rows.groupBy("label").count()
-    named = rows.select("ref", "label")
-    both = apart.join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b")
-    both = both.select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-    both = both.join(sizes.toDF("la", "na"), "la").join(sizes.toDF("lb", "nb"), "lb").where("na > 1 or nb > 1")
-    few = both.select(
-        F.when(F.col("na") <= F.col("nb"), F.col("la")).otherwise(F.col("lb")).alias("la"),
-        F.when(F.col("na") <= F.col("nb"), F.col("lb")).otherwise(F.col("la")).alias("lb"),
-    )
-    left = few.join(rows.toDF("a", "ca", "ba", "la"), "la")
-    right = rows.toDF("b", "cb", "bb", "lb")
-    shared = F.aggregate(F.zip_with("ca", "cb", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
-    near = (100 * F.least("ba", "bb") >= percent * F.greatest("ba", "bb")) & (
-        8 * (100 + percent) * shared >= percent * (F.col("ba") + F.col("bb"))
-    )
-    return left.join(right, (left["lb"] == right["lb"]) & near).select("a", "b")
+    cut = cut.select("group", "side", "ref", "label", F.pmod(F.xxhash64("ref"), own).cast("int").alias("own"), others.alias("others"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    i = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    j = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    return met.select("group", i.alias("i"), j.alias("j"), "side", "ref", "label").join(sets.select("ref", "members"), "ref")
+
+
+class Incidence:
+    """A block of rows by columns, stored by column: the rows that hold each n-gram."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(own) for own in sets], dtype=np.int64)
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(grams))
+
+    def overlaps(self, one: np.ndarray) -> np.ndarray:
+        """Columns that each row shares with one set: one row of the product, summed up over its n-grams."""
+        at = np.minimum(np.searchsorted(self.grams, one), len(self.grams) - 1)
+        at = at[self.grams[at] == one]
+        starts, counts = self.starts[at], self.ends[at] - self.starts[at]
+        shift = np.cumsum(counts) - counts
+        held = self.rows[np.repeat(starts - shift, counts) + np.arange(counts.sum())]
+        return np.bincount(held, minlength=len(self.sizes))
+
+
+def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], labels: list, others: list, percent: int) -> list[tuple[int, int]]:
+    """(left, right) places of links between sets, enough to connect all labels that links connect.
+
+    Rows whose labels are connected by now are not multiplied any more, nor are those whose sizes rule a link out.
+    """
+    sizes = np.array([len(own) for own in left])
+    names, known = np.unique(np.array([*labels, *others]), return_inverse=True)
+    label, own_labels = known[: len(labels)].copy(), known[len(labels) :]
+    owner = np.arange(len(names))
+    block = Incidence(left)
+    found = []
+    for place, one in enumerate(right):
+        mine = owner[own_labels[place]]
+        possible = (label != mine) & (100 * np.minimum(sizes, len(one)) >= percent * np.maximum(sizes, len(one)))
+        if not possible.any():
+            continue
+        shared = block.overlaps(one)
+        near = np.flatnonzero(possible & (100 * shared >= percent * (sizes + len(one) - shared)))
+        joined, first = np.unique(label[near], return_index=True)
+        found += [(int(near[k]), place) for k in first]
+        label[np.isin(label, joined)] = mine
+        owner[np.isin(owner, joined)] = mine
+    return found
+
+
+def product(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between the two sides of each (group, i, j) that connect different labels."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, cuts in whole_groups(batches, ["group", "i", "j"]):
+            sides, refs, labels = (group.column(c).to_pylist() for c in ("side", "ref", "label"))
+            members = group.column("members")
+            ones, others = [], []
+            for start, end in zip(cuts, cuts[1:]):
+                middle = start + sides[start:end].count(0)
+                if middle in (start, end):
+                    continue
+                sets = [np.frombuffer(value.as_py(), dtype="<u8") for value in members[start:end]]
+                own = links_of_blocks(
+                    sets[: middle - start], sets[middle - start :], labels[start:middle], labels[middle:end], percent
+                )
+                ones += [refs[start + a] for a, _ in own]
+                others += [refs[middle + b] for _, b in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64())], ["a", "b"])
 
+    blocks = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+    return blocks.mapInArrow(multiply, "a long, b long")
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the bound; sets are (ref, members)."""
-    left = sets.select(F.col("ref").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("ref").alias("b"), F.col("members").alias("right"))
-    sized = pairs.join(left, "a").join(right, "b")
-    small, large = F.least(F.length("left"), F.length("right")), F.greatest(F.length("left"), F.length("right"))
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(one.as_py(), dtype="<u8"), np.frombuffer(two.as_py(), dtype="<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def star_uses(nearest: DataFrame) -> DataFrame:
+    """Each row (a) meets its first centre (b); every row is a label of its own."""
+    members = nearest.select(F.col("b").alias("group"), F.lit(0).alias("side"), F.col("a").alias("ref"))
+    centres = nearest.select(F.col("b").alias("group"), F.lit(1).alias("side"), F.col("b").alias("ref")).distinct()
+    return members.union(centres).withColumn("label", F.col("ref"))
 
-    return sized.where(100 * small >= percent * large).select("a", "b", "left", "right").mapInArrow(overlap, "a long, b long")
+
+def class_uses(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows that candidates connect, if they have several labels so far.
+
+    Any two of them may link, though they share no first holder.  Rows of a class (side 0) meet those outside its
+    largest label (side 1): within that label nothing is left to find.
+    """
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = candidates.join(one, "a", "left").join(two, "b", "left")
+    apart = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    classes = components(store(apart, "apart")).select(F.col("node").alias("label"), F.col("label").alias("group"))
+    # A label of one row has no entry among the labels.
+    several = labels.select(F.col("node").alias("ref"), "label").join(classes, "label")
+    single = classes.join(labels.select(F.col("node").alias("label")), "label", "left_anti")
+    rows = several.select("group", "label", "ref").union(single.select("group", "label", F.col("label").alias("ref")))
+    rows = store(rows, "classes")
+    sizes = rows.groupBy("group", "label").count()
+    main = sizes.groupBy("group").agg(F.max(F.struct("count", "label")).alias("most")).select(
+        "group", F.col("most.label").alias("main")
+    )
+    others = rows.join(main, "group").where("label <> main")
+    return rows.select("group", F.lit(0).alias("side"), "ref", "label").union(others.select("group", F.lit(1), "ref", "label"))
 
 
 def join_near(
@@ -286,28 +364,24 @@ def join_near(
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(value or "", hashes, length) for value in batch.column("text").to_pylist()]
-            counts = [np.bincount((own % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED).tolist() for own in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("ref"),
-                    pa.array([own.tobytes() for own in sets], pa.binary()),
-                    pa.array(counts, pa.list_(pa.int32())),
-                ],
-                ["ref", "members", "counts"],
-            )
-
-    # Rows that repeat one another in full would give a set twice.
-    sets = store(texts.mapInArrow(members, "ref long, members binary, counts array<int>"), "sets").dropDuplicates(["ref"])
-
-    # First each row and its least centre, then whatever centres are still apart, then the rest.
+            columns = [
+                batch.column("ref"),
+                pa.array([len(own) for own in sets], pa.int64()),
+                pa.array([own.tobytes() for own in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["ref", "size", "members"])
+
+    # Rows that repeat one another in full give a set twice, which changes nothing.
+    sets = store(texts.mapInArrow(members, "ref long, size long, members binary"), "sets")
+
+    # First each row by its least centre, then all rows of a class whose labels are still apart.
     nearest = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    linked = store(links(nearest, sets, percent), "links")
-    labels = components(linked)
-    others = store(_apart(candidates, labels).join(nearest, ["a", "b"], "left_anti"), "candidates")
-    linked = store(linked.union(links(others, sets, percent)), "links")
+    linked = store(product(dealt(star_uses(nearest), sets), percent), "links")
     labels = components(linked)
-    rest = pairs_between(store(_apart(candidates, labels), "apart"), labels, sets, percent)
-    labels = components(linked.union(links(rest, sets, percent)))
+    uses = class_uses(candidates, labels)
+    rest = store(product(dealt(uses, sets), percent), "links")
+    discard(sets, candidates)
+    labels = components(linked.union(rest))
 
     labelled = found.join(labels.withColumnRenamed("node", "ref"), "ref", "left").withColumn(
         "class", F.coalesce("label", "ref")
@@ -323,12 +397,3 @@ def join_near(
         "doc_id", F.col("t1").alias("text_hash"), "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")
     )
     return joined.union(alone)
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels so far."""
-    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-

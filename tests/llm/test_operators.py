@@ -128,6 +128,73 @@ def test_near_copies_of_drifting_chains(spark):
     assert groups(found.collect(), ("doc_id", "n_shingles", "component_id")) == brute_components(rows)
 
 
+def test_members_link_though_their_first_holder_links_with_neither(spark):
+    words = [f"38w{k}" for k in range(13)]
+    rows = [(1, " ".join(words[:12] + ["z0"])), (2, " ".join(words)), (3, " ".join(words + ["p"]))]
+    found = ngram_join.join_near(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 2), (3, 2)]
+
+
+@pytest.mark.parametrize("seed, side", [(1, 1_000_000), (2, 1_000_000), (4, 300)])
+def test_near_copies_of_short_templates(spark, monkeypatch, seed, side):
+    """Families of short variants: many share a key with a row that they don't link with."""
+    monkeypatch.setattr(ngram_join, "SIDE_GRAMS", side)
+    rng = random.Random(seed)
+    rows = []
+    for family in range(60):
+        words = [f"{family}w{k}" for k in range(rng.randrange(8, 30))]
+        for _ in range(25):
+            own = list(words)
+            for _ in range(rng.randrange(3)):
+                change = rng.choice(["put", "drop", "add"])
+                at = rng.choice([0, len(own) - 1, rng.randrange(len(own))])
+                if change == "put":
+                    own[at] = f"z{rng.randrange(6)}"
+                elif change == "drop":
+                    del own[at]
+                else:
+                    own.insert(at + 1, f"p{rng.randrange(6)}")
+            rows.append((rng.randrange(10**6), " ".join(own)))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = ngram_join.join_near(frame)
+    assert groups(found.collect(), ("doc_id", "n_shingles", "component_id")) == brute_components(rows)
+
+
+def test_blocks_give_all_links_that_connect():
+    """A block product against all pairs: links only, and enough of them to connect what links connect."""
+    rng = random.Random(6)
+    for _ in range(200):
+        bases = [rng.sample(range(60), rng.randrange(5, 25)) for _ in range(4)]
+
+        def some(count):
+            found = []
+            for _ in range(count):
+                own = set(rng.choice(bases))
+                for _ in range(rng.randrange(3)):
+                    own.discard(rng.choice(sorted(own)))
+                    own.add(rng.randrange(60))
+                found.append(np.array(sorted(own), dtype=np.uint64))
+            return found
+
+        left, right = some(rng.randrange(1, 20)), some(rng.randrange(1, 20))
+        near = {
+            (a, b)
+            for a, x in enumerate(left)
+            for b, y in enumerate(right)
+            if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+        }
+        found = ngram_join.links_of_blocks(left, right, list(range(len(left))), list(range(100, 100 + len(right))), 85)
+
+        def connected(links):
+            label = list(range(200))
+            for a, b in links:
+                label = [label[100 + b] if x == label[a] else x for x in label]
+            return {frozenset(k for k in range(200) if label[k] == x) for x in set(label)}
+
+        assert set(found) <= near and connected(found) == connected(near)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for size in (1, 6, 7, 8, 11, 20, 60, 300):
