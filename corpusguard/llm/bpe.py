@@ -20,6 +20,8 @@ from corpusguard.llm.word_blocks import Numbering, block_table, documents_of, sp
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Words longer than this are merged with a heap.
 LONG_WORD = 64
+# Encoded words that a task remembers before it starts afresh.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -119,46 +121,50 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     Words are cut out with their positions, distinct ones are dealt over the cluster by hash
     and encoded once, ids are joined back by block and put in order of position.  Null
     and empty texts have no ids.  A text of any length stays in one block; repeated rows
-    each get their ids; an empty table gives an empty result.  Columns of docs named ids,
-    block, row or slots are replaced.
+    each get their ids; an empty table gives an empty result.  A column of docs named ids
+    is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    own = ("ids", "block", "row", "slots", "first", "words", "uses", text)
-    keep = keep or [docs[f"`{c}`"] for c in docs.columns if c not in own]
-    table = block_table(docs, text, keep, chunker(vocabulary.pattern))
-    words = spread_words(table)
-
-    def encode_bucket(group: pa.Table) -> pa.Table:
+    keep = keep or [docs[f"`{c}`"] for c in docs.columns if c not in ("ids", text)]
+    # Private names, so that no kept column clashes with those used on the way.
+    results = [c for c in docs.select(*keep).columns]
+    names = [f"__{k}" for k in range(len(results))]
+    docs = docs.select(*(c.alias(name) for c, name in zip(keep, names)), docs[f"`{text}`"].alias("__text"))
+    table = block_table(docs, "__text", [docs[name] for name in names], chunker(vocabulary.pattern), bucketed=True)
+    words = spread_words(table).repartition("bucket")
+
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Word lists one by one; a word is encoded when it is first met in its bucket."""
         ranks = shared.value.ranks
         known: dict[bytes, bytes] = {}
-        sizes, ids = [], []
-        for entry in group.column("words").to_pylist():
-            parts = []
-            for word in entry:
-                code = known.get(word)
-                if code is None:
-                    code = known[word] = np.array(merge(word, ranks), dtype="<u4").tobytes()
-                parts.append(code)
-            sizes.append(np.fromiter(map(len, parts), dtype="<u4", count=len(parts)).tobytes())
-            ids.append(b"".join(parts))
-        return pa.table(
-            {
-                "block": group.column("block"),
-                "places": group.column("slots"),
-                "sizes": pa.array(sizes, pa.binary()),
-                "codes": pa.array(ids, pa.binary()),
-            }
-        )
-
-    codes = words.groupBy("bucket").applyInArrow(
-        encode_bucket, "block long, places binary, sizes binary, codes binary"
-    )
+        for batch in batches:
+            for row in range(batch.num_rows):
+                parts = []
+                for word in batch.column("words")[row].as_py():
+                    code = known.get(word)
+                    if code is None:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        code = known[word] = np.array(merge(word, ranks), dtype="<u4").tobytes()
+                    parts.append(code)
+                sizes = np.fromiter(map(len, parts), dtype="<u4", count=len(parts)).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("block").slice(row, 1),
+                        batch.column("slots").slice(row, 1),
+                        pa.array([sizes], pa.binary()),
+                        pa.array([b"".join(parts)], pa.binary()),
+                    ],
+                    ["block", "places", "sizes", "codes"],
+                )
+
+    codes = words.mapInArrow(encode_words, "block long, places binary, sizes binary, codes binary")
     rows = documents_of(table)
-    names = [c for c in rows.columns if c not in ("block", "row", "slots")]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         table: dict[int, bytes] = {}
-        columns = (right.column(c).to_pylist() for c in ("places", "sizes", "codes"))
+        # A block without words has no codes, and then no columns of them.
+        columns = (right.column(c).to_pylist() for c in ("places", "sizes", "codes") if right.num_rows)
         for places, sizes, codes in zip(*columns):
             ends = np.cumsum(np.frombuffer(sizes, dtype="<u4")).tolist()
             for place, start, end in zip(unpack(places).tolist(), [0, *ends], ends):
@@ -166,9 +172,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
         ids = [b"".join(map(table.__getitem__, unpack(s).tolist())) for s in left.column("slots").to_pylist()]
         return pa.table([*(left.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
-    return (
-        rows.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(assemble, ddl(rows.select(names)) + "ids binary")
-    )
+    both = rows.groupBy("block").cogroup(codes.groupBy("block"))
+    return both.applyInArrow(assemble, ddl(rows.select(names)) + "ids binary").toDF(*results, "ids")
 
 
 def decode(ids: bytes, tokens: list[bytes]) -> bytes:

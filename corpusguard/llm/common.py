@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.session import broadcast_if_measured_small, new_folder
+from corpusguard.session import broadcast_if_measured_small, estimated_bytes, new_folder
 
 # Rows of a batch handed to Python; texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 2000
@@ -37,6 +37,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def store_bucketed(df: DataFrame, name: str, buckets: int, by: list[str]) -> DataFrame:
+    """Write a table of the catalog, under the shared folder, whose rows are dealt by hash of `by`; later groups need no shuffle.
+
+    Each task writes a file for each bucket it holds rows of, so rows that share a key
+    should be in few tasks.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    table = folder.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", folder)
+    writer.bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    stored = spark.table(table)
+    stored._folder, stored._table = folder, table
+    return stored
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
@@ -45,6 +61,8 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 def discard(*stored: DataFrame) -> None:
     """Remove tables that `store` wrote, once all that was read from them is itself stored."""
     for df in stored:
+        if getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE {df._table}")
         remove_folder(df.sparkSession, df._folder)
 
 
@@ -82,6 +100,13 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def block_buckets(docs: DataFrame) -> int:
+    """Buckets for a table of blocks: about one block each, and work for all cores."""
+    size = estimated_bytes(docs)
+    known = size if size < 1 << 50 else 0  # the optimizer's size of the unknown is enormous
+    return max(docs.sparkSession.sparkContext.defaultParallelism, known // BLOCK_CHARS)
+
+
 def numbered_blocks(
     batches: Iterator[pa.RecordBatch], text: str, limit: int
 ) -> Iterator[tuple[int, list[pa.RecordBatch]]]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import BLOCK_CHARS, discard, numbered_blocks, store, whole_groups
+from corpusguard.llm.common import BLOCK_CHARS, block_buckets, discard, numbered_blocks, store, store_bucketed, whole_groups
 from corpusguard.llm.graph import components
 from corpusguard.llm.hashing import WordHashes, mix, run_hashes
 from corpusguard.llm.word_blocks import pack, unpack
@@ -106,9 +106,10 @@ def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataFrame:
     """Write the blocked matrix.
 
-    Document rows: doc_id, t1, n_shingles, ref (of the distinct set within the block of
-    documents), leader.  Key rows: bucket, block, keys, slots (of the
+    Document rows: block, doc_id, t1, n_shingles, ref (of the distinct set within the block of
+    documents), leader, and a leader's text.  Key rows: bucket, block, keys, slots (of the
     keys' first holders).  Edge rows: members, centres of rows of one block that share a key.
+    The table is bucketed by block, so that texts stay where they are until they are multiplied.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
             slots: dict[bytes, int] = {}
             keys: list[np.ndarray] = []
             for batch in held:
-                sizes, refs, leaders = [], [], []
+                sizes, refs, leaders, texts = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     members = shingle_set(text or "", hashes, length)
                     name = xxhash.xxh3_128_digest(members.tobytes())
@@ -129,12 +130,15 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
                     sizes.append(len(members))
                     refs.append(base | slot)
                     leaders.append(new)
+                    texts.append(text if new and len(members) else None)
                 yield _rows(
                     doc_id=batch.column("doc_id"),
                     t1=batch.column("t1"),
                     n_shingles=pa.array(sizes, pa.int64()),
                     ref=pa.array(refs, pa.int64()),
                     leader=pa.array(leaders, pa.bool_()),
+                    block=pa.array([base] * batch.num_rows, pa.int64()),
+                    text=pa.array(texts, pa.string()),
                     kind=held[0].column("doc_id").type,
                 )
             every = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
@@ -161,7 +165,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return store(docs.mapInArrow(build, f"doc_id {kind}, " + _DDL), "incidence")
+    return store_bucketed(docs.mapInArrow(build, f"doc_id {kind}, " + _DDL), "incidence", block_buckets(docs), ["block"])
 
 
 _FIELDS = {
@@ -175,10 +179,11 @@ _FIELDS = {
     "slots": pa.binary(),
     "members": pa.list_(pa.int64()),
     "centres": pa.list_(pa.int64()),
+    "text": pa.string(),
 }
 _DDL = (
     "t1 long, n_shingles long, ref long, leader boolean, bucket long, block long, "
-    "keys binary, slots binary, members array<bigint>, centres array<bigint>"
+    "keys binary, slots binary, members array<bigint>, centres array<bigint>, text string"
 )
 
 
@@ -214,15 +219,17 @@ def candidate_stars(matrix: DataFrame) -> DataFrame:
     return across.union(inside.select("e.members", "e.centres")).distinct()
 
 
-def dealt(uses: DataFrame, sets: DataFrame) -> DataFrame:
-    """group, i, j, side, ref, label, members: uses (group, side, ref, label) with their sets, in blocks of bounded size.
+def dealt(uses: DataFrame, matrix: DataFrame) -> DataFrame:
+    """group, i, j, side, ref, label, text: uses (group, side, ref, label) with their texts, in blocks of bounded size.
 
     Each block of a group's side 0 meets each block of its side 1 once; only a group beyond SIDE_GRAMS is cut.
+    Uses go to the texts, block by block; only texts in use move on.
     """
-    sized = uses.join(sets.select("ref", "size"), "ref")
-    blocks = [F.ceil(F.sum(F.when(F.col("side") == side, F.col("size"))) / SIDE_GRAMS).cast("int") for side in (0, 1)]
-    large = sized.groupBy("group").agg(*(n.alias(f"n{side}") for side, n in enumerate(blocks))).where("n0 > 1 or n1 > 1")
-    large = broadcast_if_measured_small(large.withColumnRenamed("group", "large"), "large")
+    sizes = matrix.where("leader").select("ref", "n_shingles")
+    blocks = [F.ceil(F.sum(F.when(F.col("side") == side, F.col("n_shingles"))) / SIDE_GRAMS).cast("int") for side in (0, 1)]
+    sized = uses.join(sizes, "ref").groupBy("group").agg(*(n.alias(f"n{side}") for side, n in enumerate(blocks)))
+    large = sized.where("n0 > 1 or n1 > 1").withColumnRenamed("group", "large")
+    large = broadcast_if_measured_small(large, "large")
     cut = uses.join(large, F.col("group") == F.col("large"), "left")
     own, others = (
         F.coalesce(F.when(F.col("side") == 0, F.col(first)).otherwise(F.col(second)), F.lit(1))
@@ -232,7 +239,21 @@ def dealt(uses: DataFrame, sets: DataFrame) -> DataFrame:
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     i = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
     j = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
-    return met.select("group", i.alias("i"), j.alias("j"), "side", "ref", "label").join(sets.select("ref", "members"), "ref")
+    block = F.shiftleft(F.shiftright("ref", SLOT_BITS), SLOT_BITS)
+    placed = met.select(block.alias("block"), "group", i.alias("i"), j.alias("j"), "side", "ref", "label")
+    texts = matrix.where("text is not null").select("block", "ref", "text")
+    names = ["group", "i", "j", "side", "ref", "label"]
+
+    def bring(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in zip([*names, "text"], kinds)})
+        places = {ref: row for row, ref in enumerate(left.column("ref").to_pylist())}
+        taken = pa.array([places[ref] for ref in right.column("ref").to_pylist()], pa.int64())
+        return pa.table([*(right.column(c) for c in names), left.column("text").take(taken)], [*names, "text"])
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    both = texts.groupBy("block").cogroup(placed.groupBy("block"))
+    return both.applyInArrow(bring, "group long, i int, j int, side int, ref long, label long, text string")
 
 
 class Incidence:
@@ -281,19 +302,20 @@ def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], labels: lis
     return found
 
 
-def product(rows: DataFrame, percent: int) -> DataFrame:
+def product(rows: DataFrame, percent: int, length: int) -> DataFrame:
     """a, b: links between the two sides of each (group, i, j) that connect different labels."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for group, cuts in whole_groups(batches, ["group", "i", "j"]):
             sides, refs, labels = (group.column(c).to_pylist() for c in ("side", "ref", "label"))
-            members = group.column("members")
+            texts = group.column("text")
             ones, others = [], []
             for start, end in zip(cuts, cuts[1:]):
                 middle = start + sides[start:end].count(0)
                 if middle in (start, end):
                     continue
-                sets = [np.frombuffer(value.as_py(), dtype="<u8") for value in members[start:end]]
+                sets = [shingle_set(value.as_py(), hashes, length) for value in texts[start:end]]
                 own = links_of_blocks(
                     sets[: middle - start], sets[middle - start :], labels[start:middle], labels[middle:end], percent
                 )
@@ -355,32 +377,13 @@ def join_near(
     matrix = incidence(rows, buckets, percent, length)
     found = matrix.where(F.col("ref").isNotNull()).select("doc_id", "t1", "n_shingles", "ref", "leader")
     candidates = store(candidate_stars(matrix), "candidates")
-    used = candidates.select(F.col("a").alias("ref")).union(candidates.select("b")).distinct()
-    named = found.where("leader").join(used, "ref").select("doc_id", "t1", "ref")
-    same = [rows[c].eqNullSafe(named[c]) for c in ("doc_id", "t1")]
-    texts = rows.join(named, same[0] & same[1]).select(named["ref"], rows["text"])
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(value or "", hashes, length) for value in batch.column("text").to_pylist()]
-            columns = [
-                batch.column("ref"),
-                pa.array([len(own) for own in sets], pa.int64()),
-                pa.array([own.tobytes() for own in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["ref", "size", "members"])
-
-    # Rows that repeat one another in full give a set twice, which changes nothing.
-    sets = store(texts.mapInArrow(members, "ref long, size long, members binary"), "sets")
-
     # First each row by its least centre, then all rows of a class whose labels are still apart.
     nearest = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    linked = store(product(dealt(star_uses(nearest), sets), percent), "links")
+    linked = store(product(dealt(star_uses(nearest), matrix), percent, length), "links")
     labels = components(linked)
     uses = class_uses(candidates, labels)
-    rest = store(product(dealt(uses, sets), percent), "links")
-    discard(sets, candidates)
+    rest = store(product(dealt(uses, matrix), percent, length), "links")
+    discard(candidates)
     labels = components(linked.union(rest))
 
     labelled = found.join(labels.withColumnRenamed("node", "ref"), "ref", "left").withColumn(

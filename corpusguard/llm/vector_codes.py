@@ -16,11 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import ddl, remove_folder, store
-from corpusguard.session import new_folder
+from corpusguard.llm.common import ddl, discard, store, store_bucketed
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 # Components of vectors that one salt covers at most, so no owner holds more of them.
@@ -140,13 +139,14 @@ def compress(
         return Codes(kept.select(*names, F.lit("").alias("code"), F.lit(0).cast("long").alias("error")).toDF(*results), books)
 
     rows, table = _place(kept.drop("__id"), names, books, width, scale)
-    table, folder, buckets = _settle(spark, table, width)
+    # The first migration: every part goes to the owner of its entry.
+    components = (table.agg(F.sum("n")).first()[0] or 0) * width
+    buckets = max(spark.sparkContext.defaultParallelism, -(-components // SALT_COMPONENTS))
+    table = store_bucketed(table.repartition(buckets, *OWNER), "members", buckets, OWNER)
     for _ in range(rounds - 1):
         books = _updated(table, books, width)
-        older = folder
-        table, folder = _written(_assigned(table, books, width), buckets)
-        spark.sql(f"DROP TABLE {older[0]}")
-        remove_folder(spark, older[1])
+        older, table = table, store_bucketed(_assigned(table, books, width), "members", buckets, OWNER)
+        discard(older)
     books = _updated(table, books, width)
     return Codes(_encoded(rows, names, table, books, width, parts).toDF(*results), books)
 
@@ -207,23 +207,6 @@ def _place(kept: DataFrame, names: list[str], books: Codebooks, width: int, scal
     )
 
 
-def _written(members: DataFrame, buckets: int) -> tuple[DataFrame, tuple[str, str]]:
-    """Write a bucketed table of members under the shared folder."""
-    spark = members.sparkSession
-    folder = new_folder(spark, "members")
-    name = folder.rsplit("/", 1)[1].replace("-", "_")
-    writer = members.write.format("parquet").option("compression", "zstd").option("path", folder)
-    writer.bucketBy(buckets, *OWNER).sortBy(*OWNER).saveAsTable(name)
-    return spark.table(name), (name, folder)
-
-
-def _settle(spark: SparkSession, parts: DataFrame, width: int) -> tuple[DataFrame, tuple[str, str], int]:
-    """The first migration: every part goes to the owner of its entry."""
-    components = (parts.agg(F.sum("n")).first()[0] or 0) * width
-    buckets = max(spark.sparkContext.defaultParallelism, -(-components // SALT_COMPONENTS))
-    return *_written(parts.repartition(buckets, *OWNER), buckets), buckets
-
-
 def _updated(table: DataFrame, books: Codebooks, width: int) -> Codebooks:
     """Entries replaced by the floored means of their members; at most parts x entries rows reach the driver."""
     sums = [F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(width)]

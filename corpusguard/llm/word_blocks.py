@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import BLOCK_CHARS, ddl, kept_columns, numbered_blocks, store
+from corpusguard.llm.common import BLOCK_CHARS, block_buckets, ddl, kept_columns, numbered_blocks, store, store_bucketed
 
 # Words of a row of the block table.
 ROW_WORDS = 50_000
@@ -44,8 +44,10 @@ class Numbering(dict):
         return slot
 
 
-def block_table(docs: DataFrame, text: str, keep: list, slots_of: Callable[[], Callable], counted: str | None = None):
-    """Write and reread the block table.
+def block_table(
+    docs: DataFrame, text: str, keep: list, slots_of: Callable[[], Callable], counted: str | None = None, bucketed: bool = False
+) -> DataFrame:
+    """Write and reread the block table; `bucketed` by block, so that documents stay where they are later on.
 
     Document rows have the `keep` columns, block, row and slots; word rows have block,
     first, words and uses (occurrences in rows whose `counted` column is true; 0 without
@@ -113,7 +115,10 @@ def block_table(docs: DataFrame, text: str, keep: list, slots_of: Callable[[], C
                 )
 
     schema = ddl(kept) + "block long, row long, slots binary, first long, words array<binary>, uses array<bigint>"
-    return store(kept.mapInArrow(cut, schema), "word-blocks")
+    cut_up = kept.mapInArrow(cut, schema)
+    if not bucketed:
+        return store(cut_up, "word-blocks")
+    return store_bucketed(cut_up, "word-blocks", block_buckets(docs), ["block"])
 
 
 def documents_of(table: DataFrame) -> DataFrame:
