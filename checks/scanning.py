@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks import seeds
@@ -11,6 +13,7 @@ from corpusguard import fixed_values as V
 from corpusguard.functions import html, paths, text as text_fns
 from corpusguard.operators import approvals, findings, rules, transform
 from corpusguard.operators.manifest import hash_tree
+from corpusguard.session import new_folder
 from corpusguard.sources import discover, external
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -44,6 +47,44 @@ def discover_documents(spark, sf_dir):
     return found.withColumn("modified_at", F.date_format("modified_at", STAMP))
 
 
+_TREE_NAMES = ["a/d{}.md", "_drafts/_d{}.md", ".hid/d{}.md", "b/d{}.txt", "x/y z/ü{}.md", "_index{}.md", "x/.d{}.md"]
+
+
+def write_tree(spark, sf_dir):
+    """Every document as a file of its own, under names of all kinds, written by tasks."""
+    root = new_folder(spark, "tree")
+    base = root.removeprefix("file:")
+    name = F.replace(seeds.pick(_TREE_NAMES, F.col("doc_id") % len(_TREE_NAMES)), F.lit("{}"), F.col("doc_id").cast("string"))
+    named = seeds.documents(spark, sf_dir).select(name.alias("path"), "text")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                os.makedirs(os.path.dirname(f"{base}/{path}"), exist_ok=True)
+                with open(f"{base}/{path}", "wb") as file:
+                    file.write(text.encode())
+            yield batch[["path"]]
+
+    return root, named.mapInPandas(write, "path string").count()
+
+
+@check(
+    "discover_tree",
+    S.with_(
+        S.DOCS,
+        f"SELECT replace({S.strings(_TREE_NAMES)}[doc_id % {len(_TREE_NAMES)} + 1], '{{}}', doc_id::VARCHAR) AS path, "
+        "sha256, octet_length(encode(text))::BIGINT AS size FROM docs WHERE doc_id % 7 IN (0, 1, 4, 5)",
+    ),
+)
+def discover_tree(spark, sf_dir):
+    """The documents written out as files, then discovered: names with a leading underscore count, hidden ones don't."""
+    root, count = write_tree(spark, sf_dir)
+    tree = discover.read_tree(spark, root)
+    if tree.count() != count or discover.skipped_paths(tree).count() + discover.discover_documents(tree).count() != count:
+        raise AssertionError("files were lost in the listing")
+    return discover.discover_documents(tree).drop("modified_at")
+
+
 PATH_VARIANTS = [
     "{p}",
     ".hidden/{p}",

@@ -23,30 +23,30 @@ PREFIXES = ["", "", "", "# Titel ###\r\n\r\n", "---\ntitle: t\n---\n", "---\nope
 
 # Secret-like seeds are put together here so that no scanner flags this file.
 SEEDS = [
-    "plain text",
-    "pass" + "word = " + "correcthorse",
-    "postgres://demo:" + "longphrase" + "@db.example.invalid/app",
-    "gh" + "p_" + "A" * 24,
-    "-----BEGIN " + "PRIVATE KEY-----",
-    "host 10.1.2.3 here",
-    "see fe80::1",
-    "db.internal:5432",
-    "path=/srv/data/x",
-    "D:\\work\\x.txt",
-    "file:///tmp/a",
-    "[[target]]",
-    "<script>x</script>",
-    "<a onclick=go()>",
-    "![i](https://example.com/a.png)",
-    "![i](images/a.png)",
-    "[x](../../../../out.md)",
-    "[a]: ../files/d.zip",
-    "<img src='/Users/e/p.png'>",
-    "```\nopen",
-    "~~~\n```\n~~~",
-    "# Title C#\n\nbody",
-    "[x](a%2525.md) [y](100%25.md) [z](ftp://h/x)",
-    "[s](../d1/other.md) [q](?p=1) [m](mailto:a@b.c)",
+    "nothing to report in this line",
+    "tok" + "en: " + "'seven blue lanterns'",
+    "mysql://reader:" + "quiet-harbour" + "@store.example.net/reports",
+    "AK" + "IA" + "Q7" * 8,
+    "-----BEGIN " + "EC PRIVATE KEY-----",
+    "ping 172.20.4.9 twice",
+    "route via fd12:3::7",
+    "printer.lan is off",
+    "copied to /opt/tools/bin yesterday",
+    "kept in E:\\reports\\may.csv",
+    "open file://host/share/doc",
+    "see [[Other page]] first",
+    "<form>x</form>",
+    "<p onmouseover=hint()>",
+    "![chart](https://static.example.org/c/1.svg)",
+    "![map](maps/north.png)",
+    "[up](../../../../../outside/notes.md)",
+    "[data]: ../tables/sums.csv",
+    "<img src='/Library/pics/e.png'>",
+    "~~~ sh\nls",
+    "```\n~~~\n```",
+    "# Notes on F#\n\ntext",
+    "[p](q%2525r.md) [s](5%25.md) [t](gopher://old/x)",
+    "[near](../d4/page.md) [find](?term=x) [write](mailto:desk@example.org)",
 ]
 
 

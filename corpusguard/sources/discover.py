@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import os
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.functions import paths
 from corpusguard.functions.text import digest
-from corpusguard.sources.strict import InvalidTable
+from corpusguard.session import materialize
 
-# Bytes of files named _*.md that the driver reads; Spark's file sources skip such names.
-HIDDEN_LIMIT = 64 * 1024 * 1024
+# Entries of a directory, and bytes of files, that a task hands on at once.
+LISTED_ROWS, READ_BYTES = 10_000, 32 * 1024 * 1024
 
 
 def skip_reason(path: Column) -> Column:
@@ -26,69 +31,94 @@ def classify_paths(files: DataFrame) -> DataFrame:
     return files.select("path", skip_reason(F.col("path")).alias("reason"))
 
 
-def _hidden_from_listing(spark: SparkSession, root: str) -> tuple[list[str], list[tuple]]:
-    """Files that Spark's own listing leaves out because a name below the root starts with "_" or ".".
+def _filesystem(root: str):
+    """The file system of a root and the root's path in it, for tasks and the driver alike."""
+    return fs.FileSystem.from_uri(root)
 
-    Full names of those that Spark reads if told to (only a folder's name is hidden), and rows
-    of the others, which it never reads: the driver takes them, up to HIDDEN_LIMIT bytes.
-    """
+
+def _qualified(spark: SparkSession, root: str) -> str:
     location = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    start = len(files.makeQualified(location).toString()) + 1
-    named, rows, size = [], [], 0
-    listing = files.listFiles(location, True)
-    while listing.hasNext():
-        status = listing.next()
-        path = status.getPath().toString()
-        names = path[start:].split("/")
-        if names[-1][:1] not in ("_", "."):
-            if any(name[:1] in ("_", ".") for name in names):
-                named.append(path)
+    uri = location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location).toUri()
+    # A local address has no host, so its path follows two slashes.
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
+def _entries(files: fs.FileSystem, base: str, directory: str) -> Iterator[tuple]:
+    """(path, size, modified_at, is a directory) of what a directory holds; links and special files are none of it."""
+    local = isinstance(files, fs.LocalFileSystem)
+    for info in files.get_file_info(fs.FileSelector(f"{base}/{directory}" if directory else base)):
+        if info.type not in (fs.FileType.File, fs.FileType.Directory) or local and os.path.islink(info.path):
             continue
-        content = None
-        if names[-1][:1] == "_" and names[-1].endswith(".md"):
-            size += status.getLen()
-            if size > HIDDEN_LIMIT:
-                raise InvalidTable(f"files named _*.md below {root} hold more than {HIDDEN_LIMIT} bytes: rename them")
-            stream = files.open(status.getPath())
-            content = bytearray(stream.readAllBytes())
-            stream.close()
-        modified = datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)
-        rows.append((path[start:], content, status.getLen(), modified))
-    return named, rows
+        path = f"{directory}/{info.base_name}" if directory else info.base_name
+        yield path, info.size, info.mtime, info.type == fs.FileType.Directory
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content, size, modified_at`` of every file of a tree, hidden and other names included.
+    """``path, size, modified_at`` of every file of a tree, whatever its name.
 
-    Content is read only if it is selected.
+    The directories of a level are a table that tasks list; the driver loops over levels,
+    never over files, and each level is stored before the next one is listed.
     """
-    location = spark._jvm.org.apache.hadoop.fs.Path(root)
-    qualified = location.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(location)
-    below = F.substr("path", F.lit(len(qualified.toString()) + 2))
-    columns = (
-        below.alias("path"),
-        "content",
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
-    )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(*columns)
-    named, rows = _hidden_from_listing(spark, root)
-    if named:
-        files = files.unionByName(spark.read.format("binaryFile").load(named).select(*columns))
-    return files.unionByName(spark.createDataFrame(rows, files.schema)) if rows else files
+    qualified = _qualified(spark, root)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _filesystem(qualified)
+        for batch in batches:
+            for directory in batch.column("path").to_pylist():
+                found = _entries(files, base, directory)
+                while rows := list(islice(found, LISTED_ROWS)):
+                    columns = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(columns[0], pa.string()),
+                            pa.array(columns[1], pa.int64()),
+                            pa.array(columns[2], pa.timestamp("us", "UTC")),
+                            pa.array(columns[3], pa.bool_()),
+                        ],
+                        ["path", "size", "modified_at", "directory"],
+                    )
+
+    schema = "path string, size long, modified_at timestamp, directory boolean"
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        stored = materialize(level.mapInArrow(listed, schema), "level")
+        levels.append(stored.where("not directory").drop("directory"))
+        below = stored.where("directory").select("path")
+        if below.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        # Neighbours are listed by different tasks.
+        level = below.repartition(F.xxhash64("path"))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content, size, modified_at`` of a tree; the content of files that are skipped is null and not kept.
+    """``path, content, size, modified_at`` of a tree; the content of files that are skipped is not read and null.
 
-    ``skipped_paths`` reports the skipped ones with their reasons.
+    ``skipped_paths`` reports the skipped ones with their reasons.  Tasks read the files,
+    a bounded number of bytes at a time.
     """
-    files = list_tree(spark, root)
-    wanted = skip_reason(F.col("path")).isNull()
-    return files.where(wanted).unionByName(
-        files.where(~wanted).select("path", F.lit(None).cast("binary").alias("content"), "size", "modified_at")
-    )
+    qualified = _qualified(spark, root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _filesystem(qualified)
+        for batch in batches:
+            start, held = 0, []
+            size = 0
+            for row, (path, wanted) in enumerate(zip(batch.column("path").to_pylist(), batch.column("wanted").to_pylist())):
+                content = None
+                if wanted:
+                    with files.open_input_stream(f"{base}/{path}") as stream:
+                        content = stream.read()
+                held.append(content)
+                size += len(content or b"")
+                if size >= READ_BYTES or row + 1 == batch.num_rows:
+                    part = batch.slice(start, len(held))
+                    columns = [part.column("path"), pa.array(held, pa.binary()), part.column("size"), part.column("modified_at")]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "content", "size", "modified_at"])
+                    start, held, size = row + 1, [], 0
+
+    listed = list_tree(spark, root).withColumn("wanted", skip_reason(F.col("path")).isNull())
+    spread = listed.repartition(F.xxhash64("path"))
+    return spread.mapInArrow(read, "path string, content binary, size long, modified_at timestamp")
 
 
 def discover_documents(files: DataFrame, content: str = "content") -> DataFrame:

@@ -25,6 +25,27 @@ def test_read_tree_and_discovery(spark, tmp_path):
     }
 
 
+def test_wide_and_deep_trees_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Each level is one table of directories; links are not followed, so that a loop of links ends."""
+    monkeypatch.setattr(discover, "LISTED_ROWS", 7)
+    monkeypatch.setattr(discover, "READ_BYTES", 10)
+    root = tmp_path / "tree"
+    deep = root / "/".join(f"l{k}" for k in range(9))
+    deep.mkdir(parents=True)
+    for k in range(40):
+        (root / f"_w{k}.md").write_text("x" * k)
+        (deep / f"f{k}.md").write_text(f"deep {k}")
+    (deep / "empty").mkdir()
+    (deep / "loop").symlink_to(root)
+    (deep / "link.md").symlink_to(root / "_w1.md")
+    found = {r["path"]: r["content"] for r in discover.read_tree(spark, str(root)).collect()}
+    assert len(found) == 80 and found["_w3.md"] == b"xxx" and found["_w0.md"] == b""
+    assert found["/".join(f"l{k}" for k in range(9)) + "/f7.md"] == b"deep 7"
+    empty = tmp_path / "nothing"
+    empty.mkdir()
+    assert discover.read_tree(spark, str(empty)).count() == 0
+
+
 def test_changed_files_are_seen(spark):
     then = datetime(2026, 1, 1)
     docs = spark.createDataFrame(
