@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,47 +68,73 @@ def _seed_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _rolling(values: tuple[int, ...], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(start, Karp-Rabin hash) of runs of free values; the hash drops one value and takes in the next."""
+def _rolling(values: tuple[int, ...], size: int) -> Iterator[tuple[int, int]]:
+    """(start, Karp-Rabin hash) of runs of `size` values; the hash drops one value and takes in the next."""
     power = pow(_BASE, size - 1, _PRIME)
-    code = run = 0
+    code = 0
     for at, value in enumerate(values):
-        if not free[at]:
-            code = run = 0
-            continue
-        if run == size:
+        if at >= size:
             code = (code - (values[at - size] + 1) * power) % _PRIME
-        else:
-            run += 1
         code = (code * _BASE + value + 1) % _PRIME
-        if run == size:
+        if at + 1 >= size:
             yield at - size + 1, code
 
 
+def _matches(pattern: tuple[int, ...], text: tuple[int, ...], least: int) -> list[tuple[int, int, int]]:
+    """(-length, start in pattern, start in text) of the longest common stretches.
+
+    Equal hashes of `least` tokens are compared in full; seeds that follow one another in
+    both sequences grow into one match.
+    """
+    by_hash: dict[int, list[int]] = {}
+    for start, code in _rolling(pattern, least):
+        by_hash.setdefault(code, []).append(start)
+    seeds = [
+        (t - p, p)
+        for t, code in (_rolling(text, least) if by_hash else ())
+        for p in by_hash.get(code, ())
+        if pattern[p : p + least] == text[t : t + least]
+    ]
+    found: list[tuple[int, int, int]] = []
+    before = None
+    for shift, p in sorted(seeds):
+        if before == (shift, p - 1):
+            length, start, at = found[-1]
+            found[-1] = (length - 1, start, at)
+        else:
+            found.append((-least, p, p + shift))
+        before = (shift, p)
+    return found
+
+
 def tiles(pattern: tuple[int, ...], text: tuple[int, ...], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in pattern, start in text, length), the longest free matches first.
 
-    Each round looks for the longest match of free tokens, by hashes of the present
-    search length that are compared in full and lengthened; equal ones go by position.
+    Matches wait in order of length, equal ones by position.  One that marked tokens
+    reach into goes back with its free pieces, so what comes next is always the longest
+    match of free tokens.
     """
-    free_p, free_t = [True] * len(pattern), [True] * len(text)
+    if len(pattern) < least or least < 1:
+        return []
+    taken_p, taken_t = bytearray(len(pattern)), bytearray(len(text))
+    waiting = _matches(pattern, text, least)
+    heapq.heapify(waiting)
     found: list[tuple[int, int, int]] = []
-    search = max(least, len(pattern))
-    while search >= least:
-        by_hash: dict[int, list[int]] = {}
-        for start, code in _rolling(pattern, free_p, search):
-            by_hash.setdefault(code, []).append(start)
-        matches = [
-            (p, t)
-            for t, code in (_rolling(text, free_t, search) if by_hash else ())
-            for p in by_hash.get(code, ())
-            if pattern[p : p + search] == text[t : t + search]
-        ]
-        for p, t in sorted(matches):
-            if all(free_p[p : p + search]) and all(free_t[t : t + search]):
-                free_p[p : p + search] = free_t[t : t + search] = [False] * search
-                found.append((p, t, search))
-        search -= 1
+    while waiting:
+        length, p, t = heapq.heappop(waiting)
+        size = -length
+        if taken_p.find(1, p, p + size) < 0 and taken_t.find(1, t, t + size) < 0:
+            taken_p[p : p + size] = taken_t[t : t + size] = b"\1" * size
+            found.append((p, t, size))
+            continue
+        free = 0
+        for k in range(size + 1):
+            if k < size and not taken_p[p + k] and not taken_t[t + k]:
+                free += 1
+                continue
+            if free >= least:
+                heapq.heappush(waiting, (-free, p + k - free, t + k - free))
+            free = 0
     return found
 
 
