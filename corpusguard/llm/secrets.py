@@ -21,6 +21,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
+# What sums of logarithms may lack by rounding.
+ROUNDING = 1e-9
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -40,11 +42,14 @@ CLASSES = (
     CharClass("base32", UPPER + DIGITS, 20, 3.3),
     CharClass("base64", LOWER + UPPER + DIGITS + "+/_=-", 20, 3.5),
 )
+# One part of a path, file name or slug: a word or a number, or a word with a number after it.
+_PART = r"(?:[A-Z]?[a-z]+[0-9]{0,8}|[A-Z]+[0-9]{0,8}|[0-9]{1,8})"
 # Candidates that are known to be harmless: one-case words and numbers (with hyphens, underlines
-# or slashes), identifiers in camel case, UUIDs.
+# or slashes), identifiers in camel case, paths and slugs, UUIDs.
 ALLOWED = (
     re.compile(r"[a-z/_=+-]*|[A-Z/_=+-]*|[0-9/_=+-]*"),
-    re.compile(r"(?:[A-Z]?[a-z]{2,}+[/_=+-]*+)++[0-9]{0,4}"),
+    re.compile(r"(?:(?:[A-Z]{2,5}(?=[A-Z][a-z]))?[A-Z]?[a-z]{2,}+[/_=+-]*+)++[0-9]{0,4}"),
+    re.compile(rf"[/_=+-]*+{_PART}(?:[/_=+-]++{_PART})*+[/_=+-]*+"),
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
 )
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -85,7 +90,7 @@ def suspicious(text: str, char_class: CharClass) -> list[tuple[int, int]]:
             n = counts[old]
             counts[old] = n - 1
             total += gain[n - 1] - gain[n] if n <= width else 0.0
-        if end >= width - 1 and log2(width) - total / width >= char_class.bits:
+        if end >= width - 1 and log2(width) - total / width >= char_class.bits - ROUNDING:
             start = end - width + 1
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], end + 1)

@@ -353,12 +353,43 @@ def test_entropy_windows_equal_brute_force():
             width = char_class.window
             inside = set()
             for k in range(len(text) - width + 1):
-                if entropy(text[k : k + width]) >= char_class.bits + 1e-9:
+                if entropy(text[k : k + width]) >= char_class.bits - 1e-9:
                     inside.update(range(k, k + width))
             found = {k for a, b in secrets.suspicious(text, char_class) for k in range(a, b)}
             assert found == inside
 
 
+def test_window_exactly_at_the_bound_is_found():
+    assert secrets.suspicious("0123ABCD" * 3, secrets.CLASSES[0]) == [(0, 24)]
+
+
+@pytest.mark.parametrize("alphabet, least", [("0123456789abcdef", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20), ("+/", 20)])
+def test_planted_secrets_are_found(alphabet, least):
+    """Random strings of each kind: 98 of 100 at least, from the length that the method can judge."""
+    rng = random.Random(alphabet)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/" if alphabet == "+/" else alphabet
+    caught = 0
+    for _ in range(600):
+        size = rng.choice([least, 32, 40, 64])
+        text = f"see {''.join(rng.choice(letters) for _ in range(size))} there"
+        caught += any(start < 4 + size and end > 4 for start, _, end in secrets.scan(text))
+    assert caught >= 588
+
+
+def test_paths_and_names_are_no_secrets():
+    rng = random.Random(9)
+    words = "docs release notes for usr local lib python dist packages img holiday archive report IMG DSC README data".split()
+    for _ in range(4000):
+        parts = [
+            rng.choice([w := rng.choice(words), w.title(), f"{w}{rng.randrange(100)}", rng.choice(["2023", "20230415", "7"]), f"v{rng.randrange(20)}"])
+            for _ in range(rng.randrange(3, 9))
+        ]
+        text = rng.choice("/_-").join(parts)
+        assert secrets.scan(f"open {text} now") == [], text
+    for text in ("getHTMLElementFromClassName", "internationalizationSupport2", "123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets.scan(text) == []
+
+
 def test_secret_spans(odd, nothing):
     hidden = "Zq8" + "kT2vR9xLp4Wm7" + "Yb3NcH6s"
     text = f"é password: abc123 Token=x api_key='abcdef' ſecret=abcdefgh AKIA{'A1' * 9} {'0f' * 12} {hidden} {'word' * 9}"
