@@ -1,8 +1,15 @@
-"""The training-data pipeline: toxic documents, copies, near copies and benchmark leaks go, the rest is encoded."""
+"""The training-data pipeline: toxic documents, copies, near copies and benchmark leaks go, the rest is encoded.
+
+Null and empty texts are equal to one another: one row of them stays.  A null id stays with its row and counts as
+greater than all others.  Of rows equal in id and text one stays.  Texts of any length are worked on whole; an empty
+table gives an empty result; further columns of documents are carried up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
@@ -10,10 +17,21 @@ from corpusguard.llm.common import keep_named, store, table
 from corpusguard.llm.queries import byte_vocabulary, toxicity_model
 
 
+def _judged(docs: DataFrame, judge: Callable[[list[Column]], DataFrame], kept: str) -> DataFrame:
+    """The rows whose judgement meets a condition, with their own columns, whatever those are called.
+
+    The columns travel under names that no judgement uses, so a column of docs that is named like one comes back
+    as it was.
+    """
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    own = [F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, names)]
+    return judge(own).where(kept).select(names).toDF(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; those without text or hits stay."""
     model = toxicity_model(spark, docs, sf_dir)
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+    return _judged(docs, lambda own: toxicity.score_toxicity(docs, model, keep=own), "predicted = 0")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; an empty benchmark drops none."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _judged(docs, lambda own: decontaminate.find_contamination(docs, benchmark, keep=own), "not contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
