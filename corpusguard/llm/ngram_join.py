@@ -5,8 +5,8 @@ blocks.  Two linked documents differ in few columns (a bound that follows from t
 sizes), so with more blocks than that they agree on a whole block.  Only rows that agree
 on a block are multiplied, in blocks of bounded size: a row's overlaps with all rows of a
 block are summed up over its n-grams, and pairs below the size-derived bound are discarded.
-A class of rows that keys connect is multiplied first by its centres, then by all rows
-that are not connected by then, so that no link between any two of them is lost.
+Each row is multiplied first by the first row that shares a block with it, its centre; then
+all rows of a centre that are not connected by then, so that no link between any two is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from corpusguard.session import broadcast_if_measured_small
 WORDS, PERCENT = 4, 85
 # Keys that one bucket of the product should get, and keys a character of text gives at most.
 BUCKET_KEYS, KEYS_PER_CHAR = 2_000_000, 0.08
+# Rows of a block that a key names one by one.
+HOLDERS = 64
 # N-grams of the rows of one side of a block product.
 SIDE_GRAMS = 1_000_000
 # Places of a block of documents.
@@ -91,16 +93,32 @@ def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the first ref of each key, and (member, centre) of all others without repetition."""
+def _grouped(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, then ref; first of each key in that order (flags); place of its key's first for each."""
     order = np.lexsort((refs, keys))
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
-    centre = refs[order][np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-    member = refs[order]
+    return order, new, np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+
+
+def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, centre) without repetition: each ref of a key and the first one, where they differ."""
+    order, _, start = _grouped(keys, refs)
+    member, centre = refs[order], refs[order][start]
     apart = member != centre
     pairs = np.unique(np.stack([member[apart], centre[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-    return order[new], pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1]
+
+
+def sent_holders(keys: np.ndarray, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the holders that go to the key's bucket, and (member, centre) of those that don't.
+
+    Of a key that more than `most` rows of the block hold, the first one goes alone.
+    """
+    order, new, start = _grouped(keys, refs)
+    heavy = np.bincount(start, minlength=len(keys))[start] > most
+    members, centres = stars(keys[order][heavy], refs[order][heavy])
+    return order[new | ~heavy], members, centres
 
 
 def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataFrame:
@@ -108,7 +126,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
 
     Document rows: block, doc_id, t1, n_shingles, ref (of the distinct set within the block of
     documents), leader, and a leader's text.  Key rows: bucket, block, keys, slots (of the
-    keys' first holders).  Edge rows: members, centres of rows of one block that share a key.
+    keys' holders).  Edge rows: members, centres of rows of one block that share a very common key.
     The table is bucketed by block, so that texts stay where they are until they are multiplied.
     """
 
@@ -143,7 +161,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
                 )
             every = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
             owners = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            first, members, centres = stars(every, owners)
+            first, members, centres = sent_holders(every, owners, HOLDERS)
             if len(members):
                 yield _rows(
                     members=pa.array([(members + base).tolist()], pa.list_(pa.int64())),
@@ -206,17 +224,20 @@ def _keys_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def candidate_stars(matrix: DataFrame) -> DataFrame:
     """a, b: each row that shares a key with others, and the first row with that key.
 
-    A block of documents sends the first holder of a key only, so a key that a third of
-    all documents hold meets in its bucket once per block.
+    Of a key that a third of all documents hold, a block sends one holder; the others come in by
+    their own centre's centres.
     """
 
     def meet(group: pa.Table) -> pa.Table:
-        _, members, centres = stars(*_keys_of(group))
+        members, centres = stars(*_keys_of(group))
         return pa.table({"a": pa.array(members, pa.int64()), "b": pa.array(centres, pa.int64())})
 
     across = matrix.where(F.col("bucket").isNotNull()).select("bucket", "block", "keys", "slots").groupBy("bucket").applyInArrow(meet, "a long, b long")
     inside = matrix.where(F.col("members").isNotNull()).select(F.explode(F.arrays_zip("members", "centres")).alias("e"))
-    return across.union(inside.select("e.members", "e.centres")).distinct()
+    inside = inside.select(F.col("e.members").alias("a"), F.col("e.centres").alias("b"))
+    across = store(across.distinct(), "centres")
+    beyond = inside.join(across.select(F.col("a").alias("b"), F.col("b").alias("far")), "b").select("a", F.col("far").alias("b"))
+    return across.union(inside).union(beyond.where("a <> b")).distinct()
 
 
 def dealt(uses: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -334,28 +355,24 @@ def star_uses(nearest: DataFrame) -> DataFrame:
     return members.union(centres).withColumn("label", F.col("ref"))
 
 
-def class_uses(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """All rows that candidates connect, if they have several labels so far.
+def centre_uses(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows of a centre, itself included, where they have several labels so far.
 
-    Any two of them may link, though they share no first holder.  Rows of a class (side 0) meet those outside its
+    Rows that share a key have its first holder as a common centre, so any two that may link
+    meet here, though they don't link with the centre.  Rows of a centre (side 0) meet those outside its
     largest label (side 1): within that label nothing is left to find.
     """
-    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    joined = candidates.join(one, "a", "left").join(two, "b", "left")
-    apart = joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    classes = components(store(apart, "apart")).select(F.col("node").alias("label"), F.col("label").alias("group"))
-    # A label of one row has no entry among the labels.
-    several = labels.select(F.col("node").alias("ref"), "label").join(classes, "label")
-    single = classes.join(labels.select(F.col("node").alias("label")), "label", "left_anti")
-    rows = several.select("group", "label", "ref").union(single.select("group", "label", F.col("label").alias("ref")))
-    rows = store(rows, "classes")
-    sizes = rows.groupBy("group", "label").count()
-    main = sizes.groupBy("group").agg(F.max(F.struct("count", "label")).alias("most")).select(
-        "group", F.col("most.label").alias("main")
-    )
-    others = rows.join(main, "group").where("label <> main")
-    return rows.select("group", F.lit(0).alias("side"), "ref", "label").union(others.select("group", F.lit(1), "ref", "label"))
+    members = candidates.select(F.col("b").alias("group"), F.col("a").alias("ref"))
+    members = members.union(candidates.select("b", "b").distinct())
+    known = labels.select(F.col("node").alias("ref"), "label")
+    named = members.join(known, "ref", "left").select("group", "ref", F.coalesce("label", "ref").alias("label"))
+    sizes = store(named, "centres")
+    counted = sizes.groupBy("group", "label").count()
+    most = counted.groupBy("group").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    apart = most.where("labels > 1").select("group", F.col("most.label").alias("main"))
+    rows = sizes.join(apart, "group")
+    others = rows.where("label <> main").select("group", F.lit(1), "ref", "label")
+    return rows.select("group", F.lit(0).alias("side"), "ref", "label").union(others)
 
 
 def join_near(
@@ -377,11 +394,11 @@ def join_near(
     matrix = incidence(rows, buckets, percent, length)
     found = matrix.where(F.col("ref").isNotNull()).select("doc_id", "t1", "n_shingles", "ref", "leader")
     candidates = store(candidate_stars(matrix), "candidates")
-    # First each row by its least centre, then all rows of a class whose labels are still apart.
+    # First each row by its least centre, then all rows of a centre whose labels are still apart.
     nearest = candidates.groupBy("a").agg(F.min("b").alias("b"))
     linked = store(product(dealt(star_uses(nearest), matrix), percent, length), "links")
     labels = components(linked)
-    uses = class_uses(candidates, labels)
+    uses = store(centre_uses(candidates, labels), "uses")
     rest = store(product(dealt(uses, matrix), percent, length), "links")
     discard(candidates)
     labels = components(linked.union(rest))
