@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -34,7 +35,7 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 
 def main(sf_dir: str, names: list[str]) -> int:
     spark = (
-        configure(SparkSession.builder.master("local[8]"))
+        configure(SparkSession.builder.master(os.environ.get("COMPARE_MASTER", "local[8]")))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
