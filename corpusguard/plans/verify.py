@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.operators import approvals, manifest as manifests, receipts, rules, sides
+from corpusguard.plans.publish import Ruleset, ruleset_digest
 from corpusguard.session import materialize
 
 
@@ -55,7 +56,7 @@ def verify_corpus(
     allowlist: DataFrame,
     at: datetime | Column,
     scanner_version: str,
-    ruleset_sha256: str,
+    ruleset: Ruleset,
     directories: DataFrame | None = None,
     external: DataFrame | None = None,
 ) -> DataFrame:
@@ -65,6 +66,7 @@ def verify_corpus(
     works on that narrow table.  ``external`` are receipts of an outside scan of every
     published file; its findings block like own ones, and a gap in it is a violation.
     """
+    ruleset_sha256 = ruleset_digest(ruleset)
     scanned = materialize(rescan(files, allowlist, at, external), "rescan")
     unproved = scanned.where("scan_problem is not null").select("path", F.col("scan_problem").alias("problem"))
     if external is not None:

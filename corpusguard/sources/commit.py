@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +58,37 @@ def state(spark: SparkSession, root: str) -> tuple[int, dict | None]:
     return (used[0] if used else 0), None
 
 
+def versions(spark: SparkSession, root: str) -> set[str]:
+    """Every version that a commit names, the present one and those before it."""
+    location, files = _path(spark, f"{root}/pointer")
+    if not files.exists(location):
+        return set()
+    names = [status.getPath().getName() for status in files.listStatus(location)]
+    rows = (_read(spark, f"{root}/pointer/{name}") for name in names if _NAME.search(name))
+    return {row["version"] for row in rows if row is not None}
+
+
+def remove_abandoned(spark: SparkSession, root: str, before: datetime) -> list[str]:
+    """Remove version folders that no commit names and that were last written to before a time; returns them.
+
+    They are left by writers that failed.  A writer still at work keeps its folder if it
+    started after ``before`` (an aware time).
+    """
+    location, files = _path(spark, root)
+    if not files.exists(location):
+        return []
+    # Listed before the commits are read: a version committed meanwhile is among those.
+    found = [(status.getPath(), status.getModificationTime()) for status in files.listStatus(location)]
+    named = versions(spark, root)
+    removed = []
+    for path, modified in found:
+        version = path.getName().removeprefix("version=")
+        if path.getName() != version and version not in named and modified < before.timestamp() * 1000:
+            files.delete(path, True)
+            removed.append(version)
+    return sorted(removed)
+
+
 def current(spark: SparkSession, root: str) -> dict | None:
     return state(spark, root)[1]
 

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,6 +281,20 @@ def test_of_two_publishers_one_fails(spark, tmp_path):
     assert not [p.name for p in (tmp_path / "pointer").iterdir() if p.name.startswith(".pending")]
 
 
+def test_folders_of_failed_writers_are_removed(spark, tmp_path):
+    root = str(tmp_path)
+    files = spark.createDataFrame([("a.md", "one")], "path string, data string")
+    first = snapshot.publish_snapshot(files, root)
+    second = snapshot.publish_snapshot(files.withColumn("data", F.lit("two")), root)
+    left = snapshot.stage(files.select("path", "data", F.lit("x").alias("sha256"), F.lit("document").alias("kind")), root)
+    now = datetime.now(timezone.utc)
+    assert commit.remove_abandoned(spark, root, now - timedelta(hours=1)) == []
+    assert commit.remove_abandoned(spark, root, now + timedelta(hours=1)) == [left]
+    assert {p.name for p in tmp_path.glob("version=*")} == {f"version={row['version']}" for row in (first, second)}
+    assert snapshot.read_snapshot(spark, root).first()["data"] == "two"
+    assert commit.remove_abandoned(spark, str(tmp_path / "none"), now) == []
+
+
 def test_reports_are_shown_together_or_not_at_all(spark, tmp_path):
     root = str(tmp_path)
     run = scan.scan_corpus(corpus(spark), empty(spark), AT)
