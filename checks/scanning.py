@@ -10,7 +10,7 @@ from checks import seeds
 from checks import sql as S
 from checks.base import check
 from corpusguard import fixed_values as V
-from corpusguard.functions import html, paths, text as text_fns
+from corpusguard.functions import paths, text as text_fns
 from corpusguard.operators import approvals, findings, rules, transform
 from corpusguard.operators.manifest import hash_tree
 from corpusguard.session import new_folder

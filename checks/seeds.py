@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusguard.functions.text import digest
-from corpusguard.operators import approvals, findings as finding_ops, rules, transform
+from corpusguard.operators import findings as finding_ops, rules, transform
 from corpusguard.session import fill_cores, materialize
 
 AT = datetime(2026, 6, 1)

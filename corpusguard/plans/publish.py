@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusguard import fixed_values as V
 from corpusguard.functions import paths
 from corpusguard.functions.fingerprints import finding_fingerprint
-from corpusguard.functions.text import compute_once, digest
+from corpusguard.functions.text import compute_once
 from corpusguard.operators import approvals, manifest, receipts, rules, sides, transform
 from corpusguard.plans.scan import Scan, store_reports
 from corpusguard.session import materialize
