@@ -50,20 +50,21 @@ class Line:
     text: str
     weight: int
     dropped: bool
-    article: bool
+    article: int
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order, without markup.
 
     weight is the number of characters outside links; blocks of menus, headers, footers
-    and the like are marked as dropped.
+    and the like are marked as dropped.  article is the number of the outermost element
+    that is named as an article or main part, 0 outside of them.
     """
     lines: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, inside an article
-    links = 0
+    stack: list[tuple[str, bool, int]] = []  # name, dropped, article
+    links = articles = 0
 
     def flush() -> None:
         nonlocal linked
@@ -71,7 +72,7 @@ def lines_of(page: str) -> list[Line]:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, dropped, article = stack[-1] if stack else ("", False, False)
+                _, dropped, article = stack[-1] if stack else ("", False, 0)
                 lines.append(Line(text, max(0, len(text) - linked), dropped, article))
         linked = 0
 
@@ -111,14 +112,16 @@ def lines_of(page: str) -> list[Line]:
                     del stack[depth:]
                     break
         else:
-            _, dropped, article = stack[-1] if stack else ("", False, False)
+            _, dropped, article = stack[-1] if stack else ("", False, 0)
             hints = " ".join(filter(None, (x for found in NAMED.findall(m[3] or "") for x in found)))
             headed = name == "header" or name not in PAGE and bool(HEADER.search(hints))
             marked = name in BOILERPLATE or headed and not article or name not in ("html", "body", "main") and bool(HINTS.search(hints))
             if name not in BLOCKS and not marked:
                 stack.append((name, dropped, article))
             else:
-                stack.append((name, dropped or marked, article or name in ("article", "main") and not marked))
+                if not article and name in ("article", "main") and not marked:
+                    article = articles = articles + 1
+                stack.append((name, dropped or marked, article))
     take(page[at:])
     flush()
     return lines
@@ -153,22 +156,25 @@ def stretches(weights: np.ndarray, surge: int = SURGE, share: float = SURGE_SHAR
 def main_text(page: str) -> str:
     """Text of the article; blocks joined by newlines.
 
-    Lines marked as boilerplate weigh nothing and are never kept.  If the page names its
-    article, lines outside it weigh nothing either and every line inside weighs
-    something, so that text surges where the article begins and dives where it ends;
-    without one, text has to stand out.
+    Lines marked as boilerplate weigh nothing and are never kept.  Text has to stand out:
+    stretches between a surge and a dive are kept if they hold a share of the largest one.
+    Where the page names articles, any text makes a surge, and the elements that a kept
+    stretch meets are taken whole, nothing else; an element that none meets is a teaser
+    beside the text.
     """
     lines = lines_of(page)
-    named = sum(line.weight for line in lines if line.article and not line.dropped) > 0
-    wanted = [not line.dropped and (line.article or not named) for line in lines]
-    weights = np.array([(max(line.weight, named)) * own for line, own in zip(lines, wanted)], dtype=np.int64)
+    wanted = [not line.dropped for line in lines]
+    weights = np.array([line.weight * own for line, own in zip(lines, wanted)], dtype=np.int64)
     if not weights.any():
         return ""
+    named = any(line.article and weight for line, weight in zip(lines, weights))
     found = stretches(weights, 1, 0.0) if named else stretches(weights)
     totals = [int(weights[a:b].sum()) for a, b in found]
-    share = 0.0 if named else STRETCH_SHARE
-    kept = [span for span, total in zip(found, totals) if total >= share * max(totals)]
-    return "\n".join(lines[k].text for a, b in kept for k in range(a, b) if wanted[k])
+    kept = [k for (a, b), total in zip(found, totals) if total >= STRETCH_SHARE * max(totals) for k in range(a, b)]
+    articles = {lines[k].article for k in kept if weights[k]} - {0}
+    if articles:
+        kept = [k for k, line in enumerate(lines) if line.article in articles]
+    return "\n".join(lines[k].text for k in kept if wanted[k])
 
 
 def extract(df: DataFrame, page: str = "html", keep: list[Column] | None = None) -> DataFrame:

@@ -474,6 +474,21 @@ def test_pages(spark, nothing):
     assert html.extract(nothing.select("doc_id", F.col("text").alias("html"))).count() == 0
 
 
+def test_distribution_chooses_among_articles():
+    menu = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(4))
+    teaser = "<article><h2>Teaser</h2><p>In short.</p></article>"
+    body = "".join(f"<p>{'plain words follow here ' * 12}</p>" for _ in range(3))
+    text = "\n".join(["plain words follow here " * 11 + "plain words follow here"] * 3)
+    linked = "<h1><a href=/t>Title</a></h1>"
+    # The text stands out: teasers beyond a menu are not part of it, whether it is named or not.
+    assert html.main_text(f"<article>{linked}{body}</article>{menu}{teaser}") == "Title\n" + text
+    assert html.main_text(f"{teaser}{menu}<div>{body}</div>") == text
+    # A short article is taken whole, links and all, and the text right beside it is not.
+    short = "<article><h1>Short</h1><ul>" + menu + "</ul><p>End.</p></article>"
+    assert html.main_text(f"<div>Some words beside.</div>{short}") == "Short\nTopic 0\nTopic 1\nTopic 2\nTopic 3\nEnd."
+    assert html.main_text(teaser + menu + teaser) == "Teaser\nIn short.\nTeaser\nIn short."
+
+
 # --- benchmark leaks ------------------------------------------------------------------------
 
 
