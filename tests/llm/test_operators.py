@@ -74,6 +74,17 @@ def test_exact_copies(odd, nothing):
     assert kept.count() == len(expected) and kept.columns == odd.columns
 
 
+def test_chains_compare_bytes(spark):
+    bodies = [b"ab", b"cd", b"ab", b"cd", b"alone", b"ab"]
+    keys = [7, 7, 7, 7, 8, 9]
+    rows = [(0, key, block, 0, 1, (block,)) for block, key in enumerate(keys)]
+    index = spark.createDataFrame(rows, "bucket long, key long, block long, slot long, copies long, best struct<block:long>")
+    index = index.withColumns({"n_bytes": F.lit(2), "sha256": F.lit(b"same")})
+    texts = spark.createDataFrame([(block, 0, body) for block, body in enumerate(bodies)], "block long, slot long, body binary")
+    found = {r["block"]: (r["keep"]["block"], r["group_size"]) for r in exact_dedup.resolve(index, texts).collect()}
+    assert found == {0: (0, 2), 1: (1, 2), 2: (0, 2), 3: (1, 2), 4: (4, 1), 5: (5, 1)}
+
+
 def test_directory_splits_only_what_is_overfull():
     counts = np.zeros(16, dtype=np.int64)
     counts[5], counts[4], counts[12] = 9, 3, 4
