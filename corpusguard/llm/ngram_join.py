@@ -5,6 +5,8 @@ blocks.  Two linked documents differ in few columns (a bound that follows from t
 sizes), so with more blocks than that they agree on a whole block.  Only rows that agree
 on a block are multiplied, in blocks of bounded size: a row's overlaps with all rows of a
 block are summed up over its n-grams, and pairs below the size-derived bound are discarded.
+Before texts move, sketches of a few bytes do: a row that by sizes and sketches can't link with
+any row it would meet stays behind.
 Each row is multiplied first by the first row that shares a block with it, its centre; then
 all rows of a centre that are not connected by then, so that no link between any two is lost.
 """
@@ -34,6 +36,8 @@ BUCKET_KEYS, KEYS_PER_CHAR = 2_000_000, 0.08
 HOLDERS = 64
 # N-grams of the rows of one side of a block product.
 SIDE_GRAMS = 1_000_000
+# Counts of a sketch; sets smaller than a part of this on average are told apart by their texts.
+SKETCH, SKETCHED_FROM = 256, 64
 # Places of a block of documents.
 SLOT_BITS, SEQUENCE_BITS = 20, 20
 
@@ -48,6 +52,43 @@ def shingle_set(text: str, hashes: WordHashes, length: int = WORDS) -> np.ndarra
     return np.unique(run_hashes(hashes.of(words), length))
 
 
+def sketch_of(members: np.ndarray) -> bytes:
+    """Size of a set, and how many of its members fall into each column of a fixed number (255 at most)."""
+    counts = np.bincount((members >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.array([len(members)], dtype="<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def opened(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and counts."""
+    table = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, 4 + SKETCH)
+    return np.ascontiguousarray(table[:, :4]).view("<u4")[:, 0].astype(np.int64), table[:, 4:].astype(np.int16)
+
+
+def promising(left: list[bytes], right: list[bytes], labels: list, others: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the rows of either side that may link with one of the other side with another label.
+
+    Sets differ at least in as many members as their counts differ by, and sets that link
+    differ in (100 - percent) / (100 + percent) of both sizes at most.  Where sets are so small
+    that sketches cost more than texts, all rows are flagged.
+    """
+    sizes, counts = opened(left)
+    own_sizes, own_counts = opened(right)
+    if min(sizes.mean(), own_sizes.mean()) < SKETCHED_FROM:
+        return np.ones(len(left), dtype=bool), np.ones(len(right), dtype=bool)
+    label = np.array(labels)
+    flags, own_flags = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+    for place, (size, own) in enumerate(zip(own_sizes, own_counts)):
+        possible = (label != others[place]) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+        for rows in (np.flatnonzero(possible & ~flags), np.flatnonzero(possible & flags)):
+            if own_flags[place] or not len(rows):
+                continue
+            apart = np.abs(counts[rows] - own).sum(axis=1, dtype=np.int64)
+            near = rows[(100 + percent) * apart <= (100 - percent) * (sizes[rows] + size)]
+            flags[near] = True
+            own_flags[place] = len(near) > 0
+    return flags, own_flags
+
+
 @cache
 def levels(percent: int, reach: int) -> tuple[tuple[int, int, int], ...]:
     """(largest size, blocks, empty blocks allowed for) of each level up to a size.
@@ -125,7 +166,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
     """Write the blocked matrix.
 
     Document rows: block, doc_id, t1, n_shingles, ref (of the distinct set within the block of
-    documents), leader, and a leader's text.  Key rows: bucket, block, keys, slots (of the
+    documents), leader, and a leader's sketch and text.  Key rows: bucket, block, keys, slots (of the
     keys' holders).  Edge rows: members, centres of rows of one block that share a very common key.
     The table is bucketed by block, so that texts stay where they are until they are multiplied.
     """
@@ -137,7 +178,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
             slots: dict[bytes, int] = {}
             keys: list[np.ndarray] = []
             for batch in held:
-                sizes, refs, leaders, texts = [], [], [], []
+                sizes, refs, leaders, sketches, texts = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     members = shingle_set(text or "", hashes, length)
                     name = xxhash.xxh3_128_digest(members.tobytes())
@@ -148,6 +189,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
                     sizes.append(len(members))
                     refs.append(base | slot)
                     leaders.append(new)
+                    sketches.append(sketch_of(members) if new and len(members) else None)
                     texts.append(text if new and len(members) else None)
                 yield _rows(
                     doc_id=batch.column("doc_id"),
@@ -156,6 +198,7 @@ def incidence(docs: DataFrame, buckets: int, percent: int, length: int) -> DataF
                     ref=pa.array(refs, pa.int64()),
                     leader=pa.array(leaders, pa.bool_()),
                     block=pa.array([base] * batch.num_rows, pa.int64()),
+                    sketch=pa.array(sketches, pa.binary()),
                     text=pa.array(texts, pa.string()),
                     kind=held[0].column("doc_id").type,
                 )
@@ -197,11 +240,13 @@ _FIELDS = {
     "slots": pa.binary(),
     "members": pa.list_(pa.int64()),
     "centres": pa.list_(pa.int64()),
+    "sketch": pa.binary(),
     "text": pa.string(),
 }
+_DEALT = "block long, group long, i int, j int, side int, ref long, label long"
 _DDL = (
     "t1 long, n_shingles long, ref long, leader boolean, bucket long, block long, "
-    "keys binary, slots binary, members array<bigint>, centres array<bigint>, text string"
+    "keys binary, slots binary, members array<bigint>, centres array<bigint>, sketch binary, text string"
 )
 
 
@@ -241,10 +286,9 @@ def candidate_stars(matrix: DataFrame) -> DataFrame:
 
 
 def dealt(uses: DataFrame, matrix: DataFrame) -> DataFrame:
-    """group, i, j, side, ref, label, text: uses (group, side, ref, label) with their texts, in blocks of bounded size.
+    """block, group, i, j, side, ref, label: uses (group, side, ref, label) in blocks of bounded size.
 
     Each block of a group's side 0 meets each block of its side 1 once; only a group beyond SIDE_GRAMS is cut.
-    Uses go to the texts, block by block; only texts in use move on.
     """
     sizes = matrix.where("leader").select("ref", "n_shingles")
     blocks = [F.ceil(F.sum(F.when(F.col("side") == side, F.col("n_shingles"))) / SIDE_GRAMS).cast("int") for side in (0, 1)]
@@ -261,20 +305,48 @@ def dealt(uses: DataFrame, matrix: DataFrame) -> DataFrame:
     i = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
     j = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
     block = F.shiftleft(F.shiftright("ref", SLOT_BITS), SLOT_BITS)
-    placed = met.select(block.alias("block"), "group", i.alias("i"), j.alias("j"), "side", "ref", "label")
-    texts = matrix.where("text is not null").select("block", "ref", "text")
-    names = ["group", "i", "j", "side", "ref", "label"]
+    return met.select(block.alias("block"), "group", i.alias("i"), j.alias("j"), "side", "ref", "label")
+
+
+def brought(placed: DataFrame, matrix: DataFrame, what: str) -> DataFrame:
+    """Dealt uses with their `what`, text or sketch.  Uses go to it, block by block; only what is in use moves on."""
+    values = matrix.where("text is not null").select("block", "ref", what)
+    names = ["block", "group", "i", "j", "side", "ref", "label"]
 
     def bring(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({name: pa.array([], kind) for name, kind in zip([*names, "text"], kinds)})
+            return pa.table({name: pa.array([], kind) for name, kind in zip([*names, what], kinds)})
         places = {ref: row for row, ref in enumerate(left.column("ref").to_pylist())}
         taken = pa.array([places[ref] for ref in right.column("ref").to_pylist()], pa.int64())
-        return pa.table([*(right.column(c) for c in names), left.column("text").take(taken)], [*names, "text"])
+        return pa.table([*(right.column(c) for c in names), left.column(what).take(taken)], [*names, what])
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), _FIELDS[what]]
+    both = values.groupBy("block").cogroup(placed.groupBy("block"))
+    return both.applyInArrow(bring, f"{_DEALT}, {what} {values.schema[what].dataType.simpleString()}")
+
+
+def sides_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows by group and block of it, side 0 first."""
+    return rows.select(*columns).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+
+
+def sieve(rows: DataFrame, percent: int) -> DataFrame:
+    """The dealt uses that by their sketches may link with one of the other side."""
+    names = rows.columns[:-1]
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, cuts in whole_groups(batches, ["group", "i", "j"]):
+            sides, labels, sketches = (group.column(c).to_pylist() for c in ("side", "label", "sketch"))
+            kept = np.zeros(group.num_rows, dtype=bool)
+            for start, end in zip(cuts, cuts[1:]):
+                middle = start + sides[start:end].count(0)
+                if middle not in (start, end):
+                    kept[start:middle], kept[middle:end] = promising(
+                        sketches[start:middle], sketches[middle:end], labels[start:middle], labels[middle:end], percent
+                    )
+            yield from group.select(names).filter(pa.array(kept)).to_batches()
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-    both = texts.groupBy("block").cogroup(placed.groupBy("block"))
-    return both.applyInArrow(bring, "group long, i int, j int, side int, ref long, label long, text string")
+    return sides_of(rows, rows.columns).mapInArrow(sift, _DEALT)
 
 
 class Incidence:
@@ -323,7 +395,7 @@ def links_of_blocks(left: list[np.ndarray], right: list[np.ndarray], labels: lis
     return found
 
 
-def product(rows: DataFrame, percent: int, length: int) -> DataFrame:
+def product(uses: DataFrame, matrix: DataFrame, percent: int, length: int) -> DataFrame:
     """a, b: links between the two sides of each (group, i, j) that connect different labels."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +416,9 @@ def product(rows: DataFrame, percent: int, length: int) -> DataFrame:
                 others += [refs[middle + b] for _, b in own]
             yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64())], ["a", "b"])
 
-    blocks = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+    placed = sieve(brought(dealt(uses, matrix), matrix, "sketch"), percent)
+    rows = brought(placed, matrix, "text")
+    blocks = sides_of(rows, ["group", "i", "j", "side", "ref", "label", "text"])
     return blocks.mapInArrow(multiply, "a long, b long")
 
 
@@ -396,10 +470,10 @@ def join_near(
     candidates = store(candidate_stars(matrix), "candidates")
     # First each row by its least centre, then all rows of a centre whose labels are still apart.
     nearest = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    linked = store(product(dealt(star_uses(nearest), matrix), percent, length), "links")
+    linked = store(product(star_uses(nearest), matrix, percent, length), "links")
     labels = components(linked)
     uses = store(centre_uses(candidates, labels), "uses")
-    rest = store(product(dealt(uses, matrix), percent, length), "links")
+    rest = store(product(uses, matrix, percent, length), "links")
     discard(candidates)
     labels = components(linked.union(rest))
 
