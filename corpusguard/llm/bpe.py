@@ -85,11 +85,15 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) > LONG_WORD:
         return _merge_long(word, ranks)
     parts = [word[k : k + 1] for k in range(len(word))]
-    while len(parts) > 1:
-        best, at = min(((ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))))
-        if best == 1 << 60:
-            break
+    pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+    while pairs and (best := min(pairs)) != 1 << 60:
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], 1 << 60)
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], 1 << 60)
     return [ranks[part] for part in parts]
 
 

@@ -125,6 +125,27 @@ def documents_of(table: DataFrame) -> DataFrame:
     return table.where(F.col("slots").isNotNull()).drop("first", "words", "uses")
 
 
+def deal_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Word lists cut up by bucket.  A batch may hold the lists of many blocks, so they are opened one by one."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block, first, words, uses = (batch.column(c)[row].as_py() for c in ("block", "first", "words", "uses"))
+            owners = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
+            order = np.argsort(owners, kind="stable")
+            cuts = np.flatnonzero(np.diff(owners[order], prepend=-1))
+            parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(owners[order][cuts], pa.int64()),
+                    pa.array([block] * len(parts), pa.int64()),
+                    pa.array([pack((part + first).tolist()) for part in parts], pa.binary()),
+                    pa.array([[words[k] for k in part] for part in parts], pa.list_(pa.binary())),
+                    pa.array([[uses[k] for k in part] for part in parts], pa.list_(pa.int64())),
+                ],
+                ["bucket", "block", "slots", "words", "uses"],
+            )
+
+
 def spread_words(table: DataFrame) -> DataFrame:
     """bucket, block, slots, words, uses: word lists dealt by hash of the word.
 
@@ -137,21 +158,6 @@ def spread_words(table: DataFrame) -> DataFrame:
     buckets = max(2 * cores, -(-entries // BUCKET_ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, first, words, uses in zip(*(batch.column(c).to_pylist() for c in ("block", "first", "words", "uses"))):
-                owners = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), dtype=np.int64, count=len(words))
-                order = np.argsort(owners, kind="stable")
-                cuts = np.flatnonzero(np.diff(owners[order], prepend=-1))
-                parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(owners[order][cuts], pa.int64()),
-                        pa.array([block] * len(parts), pa.int64()),
-                        pa.array([pack((part + first).tolist()) for part in parts], pa.binary()),
-                        pa.array([[words[k] for k in part] for part in parts], pa.list_(pa.binary())),
-                        pa.array([[uses[k] for k in part] for part in parts], pa.list_(pa.int64())),
-                    ],
-                    ["bucket", "block", "slots", "words", "uses"],
-                )
+        return deal_words(batches, buckets)
 
     return rows.mapInArrow(deal, "bucket long, block long, slots binary, words array<binary>, uses array<bigint>")

@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 from math import exp, log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from corpusguard.llm import (
     secrets,
     substring_dedup,
     toxicity,
+    word_blocks,
 )
 from corpusguard.llm.common import keep_named
 
@@ -206,6 +209,22 @@ def test_blocks_give_all_links_that_connect():
         assert set(found) <= near and connected(found) == connected(near)
 
 
+def test_sketches_keep_all_rows_that_may_link_and_few_others():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(12)]
+    near = [np.concatenate([own[:cut], rng.integers(0, 1 << 63, 300 - cut, dtype=np.uint64)]) for own in base for cut in (150, 270, 276, 290)]
+    left, right = [np.unique(own) for own in base], [np.unique(own) for own in near]
+    labels, others = list(range(12)), [100 + k % 5 for k in range(len(right))]
+    others[3] = 0
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    links = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if labels[i] != others[j] and share(a, b) >= 0.85}
+    flags, own = ngram_join.promising([ngram_join.sketch_of(a) for a in left], [ngram_join.sketch_of(b) for b in right], labels, others, 85)
+    assert links and all(flags[i] and own[j] for i, j in links)
+    assert not own[3] and not any(own[j] for j in range(0, len(right), 4)) and own.sum() < len(right)
+    small = [ngram_join.sketch_of(a[:5]) for a in left]
+    assert all(flag.all() for flag in ngram_join.promising(small, small, labels, labels, 85))
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for size in (1, 6, 7, 8, 11, 20, 60, 300):
@@ -295,6 +314,17 @@ def all_ways(text, pieces):
     return total
 
 
+def test_word_lists_are_opened_one_by_one():
+    words = [b"word %d" % k for k in range(4000)]
+    fields = {"block": range(30), "first": [0] * 30, "words": [words] * 30, "uses": [[0] * 4000] * 30}
+    batch = pa.RecordBatch.from_pydict(fields)
+    tracemalloc.start()
+    dealt = sum(len(own) for part in word_blocks.deal_words(iter([batch]), 4) for own in part.column("words"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dealt == 30 * 4000 and peak < 4 * 4000 * 200
+
+
 def test_forward_sums_all_segmentations():
     existing = toy()
     pieces = lattice_lm.with_shares(existing, existing.shares)
