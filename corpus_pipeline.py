@@ -52,8 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), n_tokens and digests of ids and decoded bytes."""
-    vocabulary = byte_vocabulary()
-    return bpe.with_digests(bpe.encode(docs, vocabulary, keep=[F.col("doc_id")]), vocabulary)
+    return bpe.encode_with_digests(docs, byte_vocabulary(), keep=[F.col("doc_id")])
 
 
 STAGES = [

@@ -22,6 +22,10 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_WORD = 64
 # Encoded words that a task remembers before it starts afresh.
 REMEMBERED = 500_000
+# Runs of a block whose slots a task remembers before it starts afresh; most rare ones don't come again.
+REMEMBERED_RUNS = 50_000
+# Columns that the digests of ids add.
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 @dataclass(frozen=True)
@@ -49,8 +53,8 @@ def chunker(pattern: str) -> Callable[[], Callable[[str, Numbering], list[int]]]
     """Slots of a text's words by the pattern, chunk by chunk.
 
     No match goes on from a character that is no white space into white space, so a text may
-    first be cut into runs (with the blank before them) and stretches of white space; each
-    distinct run is cut by the pattern once per task.
+    first be cut into runs (with the blank before them) and stretches of white space; runs
+    that come often are cut by the pattern once per block.
     """
     spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
 
@@ -68,6 +72,8 @@ def chunker(pattern: str) -> Callable[[], Callable[[str, Numbering], list[int]]]
             for chunk in chunks.findall(text):
                 own = known.get(chunk)
                 if own is None:
+                    if len(known) >= REMEMBERED_RUNS:
+                        known.clear()
                     own = known[chunk] = tuple(numbering[word.encode()] for word in words.findall(chunk))
                 found += own
             return found
@@ -128,8 +134,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     each get their ids; an empty table gives an empty result.  A column of docs named ids
     is replaced.
     """
+    return _encode(docs, vocabulary, text, keep, digested=False)
+
+
+def encode_with_digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
+    """`with_digests` of `encode`, where ids are put in order: one Python worker does both, instead of two side by side."""
+    return _encode(docs, vocabulary, text, keep, digested=True)
+
+
+def _encode(docs: DataFrame, vocabulary: Vocabulary, text: str, keep: list[Column] | None, digested: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = keep or [docs[f"`{c}`"] for c in docs.columns if c not in ("ids", text)]
+    added = ["ids", *(_names(DIGESTS) if digested else [])]
+    keep = keep or [docs[f"`{c}`"] for c in docs.columns if c not in (*added, text)]
     # Private names, so that no kept column clashes with those used on the way.
     results = [c for c in docs.select(*keep).columns]
     names = [f"__{k}" for k in range(len(results))]
@@ -166,18 +182,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: li
     rows = documents_of(table)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        table: dict[int, bytes] = {}
         # A block without words has no codes, and then no columns of them.
-        columns = (right.column(c).to_pylist() for c in ("places", "sizes", "codes") if right.num_rows)
-        for places, sizes, codes in zip(*columns):
-            ends = np.cumsum(np.frombuffer(sizes, dtype="<u4")).tolist()
-            for place, start, end in zip(unpack(places).tolist(), [0, *ends], ends):
-                table[place] = codes[start:end]
-        ids = [b"".join(map(table.__getitem__, unpack(s).tolist())) for s in left.column("slots").to_pylist()]
-        return pa.table([*(left.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
+        codes = [right.column(c).to_pylist() if right.num_rows else [] for c in ("places", "sizes", "codes")]
+        join = joined_codes(*codes)
+        ids = [join(unpack(s)) for s in left.column("slots").to_pylist()]
+        columns = [*(left.column(c) for c in names), pa.array(ids, pa.binary())]
+        if digested:
+            tokens = shared.value.tokens()
+            columns += _arrays([_digests(own, tokens) for own in ids], DIGESTS)
+        return pa.table(columns, [*names, *added])
 
     both = rows.groupBy("block").cogroup(codes.groupBy("block"))
-    return both.applyInArrow(assemble, ddl(rows.select(names)) + "ids binary").toDF(*results, "ids")
+    schema = ddl(rows.select(names)) + "ids binary" + (f", {DIGESTS}" if digested else "")
+    return both.applyInArrow(assemble, schema).toDF(*results, *added)
+
+
+def joined_codes(places: list[bytes], sizes: list[bytes], codes: list[bytes]) -> Callable[[np.ndarray], bytes]:
+    """The ids of a sequence of slots, given the lists of a block: where words belong, how long their codes are, the codes.
+
+    All codes are one array, and slots are looked up in arrays: a block has words by the hundred thousand.
+    """
+    at = np.concatenate([np.zeros(0, dtype="<u4"), *map(unpack, places)])
+    lengths = np.frombuffer(b"".join(sizes), dtype="<u4").astype(np.int64) // 4
+    every = np.frombuffer(b"".join(codes), dtype="<u4")
+    own, starts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    own[at] = lengths
+    starts[at] = np.cumsum(lengths) - lengths
+
+    def join(slots: np.ndarray) -> bytes:
+        counts = own[slots]
+        shift = np.cumsum(counts) - counts
+        return every[np.repeat(starts[slots] - shift, counts) + np.arange(counts.sum())].tobytes()
+
+    return join
 
 
 def decode(ids: bytes, tokens: list[bytes]) -> bytes:
@@ -193,26 +230,33 @@ def with_decoded(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def with_digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256, without moving decoded texts through the JVM."""
 
-    def digests(ids: bytes, tokens: list[bytes]) -> tuple:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, tokens)).hexdigest()
+    return _with(encoded, vocabulary, DIGESTS, _digests)
 
-    return _with(encoded, vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
+def _digests(ids: bytes, tokens: list[bytes]) -> tuple:
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, tokens)).hexdigest()
 
-def _with(encoded: DataFrame, vocabulary: Vocabulary, added: str, function: Callable) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    new = [part.split()[0] for part in added.split(", ")]
+
+def _names(added: str) -> list[str]:
+    return [part.split()[0] for part in added.split(", ")]
+
+
+def _arrays(rows: list[tuple], added: str) -> list[pa.Array]:
+    """Columns of rows, as `added` declares them."""
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[part.split()[1]] for part in added.split(", ")]
+    return [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)]
+
+
+def _with(encoded: DataFrame, vocabulary: Vocabulary, added: str, function: Callable) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    new = _names(added)
     names = [c for c in encoded.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens()
         for batch in batches:
             found = [function(value.as_py() or b"", tokens) for value in batch.column("ids")]
-            columns = list(zip(*found)) or [()] * len(new)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(c, t) for c, t in zip(columns, types)], [*names, *new]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + _arrays(found, added), [*names, *new])
 
     return encoded.select(names).mapInArrow(run, ddl(encoded.select(names)) + added)

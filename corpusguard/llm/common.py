@@ -15,6 +15,8 @@ from corpusguard.session import broadcast_if_measured_small, estimated_bytes, ne
 
 # Rows of a batch handed to Python; texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 2000
+# Bytes of such a batch; a row of the tables of words is a list of thousands.
+BATCH_BYTES = 8 * 1024 * 1024
 
 # Characters that one block of documents holds at most (a longer text is a block of its own).
 BLOCK_CHARS = 32 * 1024 * 1024
@@ -24,10 +26,16 @@ BLOCK_ROWS = 100_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table; batches for Python are kept small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    keep_batches_small(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keep_batches_small(spark: SparkSession) -> None:
+    """A batch is held twice, by the executor and by the Python worker, beside what the worker makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder, closely packed, and read back; lineage ends there."""
     target = new_folder(df.sparkSession, name)

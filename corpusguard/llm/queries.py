@@ -45,9 +45,8 @@ def byte_vocabulary() -> bpe.Vocabulary:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = byte_vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=[F.col("doc_id")])
-    return bpe.with_digests(encoded, vocabulary).drop("ids")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_with_digests(docs, byte_vocabulary(), keep=[F.col("doc_id")]).drop("ids")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.common import BLOCK_CHARS, block_buckets, ddl, kept_columns, numbered_blocks, store, store_bucketed
+from corpusguard.llm.common import (
+    BLOCK_CHARS,
+    block_buckets,
+    ddl,
+    keep_batches_small,
+    kept_columns,
+    numbered_blocks,
+    store,
+    store_bucketed,
+)
 
 # Words of a row of the block table.
 ROW_WORDS = 50_000
@@ -54,6 +63,7 @@ def block_table(
     one).  `slots_of()` is called once per task and gives a function of (text, numbering)
     that returns a document's slots.
     """
+    keep_batches_small(docs.sparkSession)
     kept = kept_columns(docs, text, keep, ())
     names = [c for c in kept.columns if c != "__text"]
     plain = pa.schema(

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusguard.llm import (
     bpe,
     decontaminate,
@@ -294,6 +295,34 @@ def test_bpe_equals_the_library(spark, odd, nothing):
     assert bpe.with_digests(bpe.encode(nothing, vocabulary), vocabulary).count() == 0
 
 
+def test_bpe_digests_take_no_second_worker(spark, odd):
+    """A task with two Python steps in a row has two workers, and each keeps the memory it once took."""
+    docs = odd.select("doc_id", "text")
+    encoded = corpus_pipeline.encode(spark, docs, "")
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan.split(" MapInArrow")[0]
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    apart = bpe.with_digests(bpe.encode(docs, vocabulary, keep=[F.col("doc_id")]), vocabulary)
+    assert encoded.columns == apart.columns
+    assert Counter(map(tuple, encoded.collect())) == Counter(map(tuple, apart.collect()))
+
+
+def test_bpe_batches_hold_few_word_lists(spark, odd):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    bpe.encode(odd.select("doc_id", "text"), bpe.Vocabulary({bytes([k]): k for k in range(256)}, r"\S+|\s+"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 * 1024 * 1024
+
+
+def test_bpe_remembers_few_rare_runs():
+    slots, numbering = bpe.chunker(r"\S+|\s+")(), word_blocks.Numbering()
+    numbers = [slots(" ".join(f"word{k}" for k in range(start, start + 1000)), numbering) for start in range(0, 150_000, 1000)]
+    assert len(numbering) == 150_001
+    known = next(c.cell_contents for c in slots.__closure__ if isinstance(c.cell_contents, dict))
+    assert len(known) <= bpe.REMEMBERED_RUNS
+    back = {slot: word for word, slot in numbering.items()}
+    assert b"".join(back[n] for n in numbers[-1]).decode() == " ".join(f"word{k}" for k in range(149_000, 150_000))
+
+
 # --- lattice likelihood ---------------------------------------------------------------------
 
 
